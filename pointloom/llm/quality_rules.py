@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,14 @@ PRIOR = 4.0
 THRESHOLD = 0.0
 
 
+def _without(text: Column, put: str) -> Column:
+    """``text`` with ``put`` for each white-space character but the blank."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(put)), "\t\n\x0b\x0c\r", text)
+
+
 def words(text: Column) -> Column:
-    """The words of a text (null: none)."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    """The words of a text (null: none). A split at one fixed character needs no pattern matching."""
+    return F.filter(F.split(_without(F.coalesce(text, F.lit("")), " "), " "), lambda w: w != "")
 
 
 def rule_counts(df: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def rule_counts(df: DataFrame) -> DataFrame:
     counts = let(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), lambda ids: F.struct(F.size(ids).alias("n"), _repeat_words(ids).alias("r")))
     t = df.withColumn("_c", counts)
     return t.select(
-        *df.columns, F.col("_c.n").cast("bigint").alias("n_words"), F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("bigint").alias("word_chars"),
+        *df.columns, F.col("_c.n").cast("bigint").alias("n_words"), F.length(F.replace(_without(text, ""), F.lit(" "), F.lit(""))).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.col("_c.r").cast("bigint").alias("n_repeat_words"),
@@ -62,12 +69,19 @@ def _repeat_words(ids: Column) -> Column:
     return F.when(F.size(ids) >= 6, let(five, some)).otherwise(F.lit(0))
 
 
-def with_features(df: DataFrame) -> DataFrame:
-    """Adds ``_f``: the buckets of a text's one- and two-token n-grams; a punctuation mark or symbol is a token of its own."""
-    apart = F.regexp_replace(F.coalesce("text", F.lit("")), r"([^\p{L}\p{N}\x20\x09-\x0D])", " $1 ")
-    one = lambda t: F.transform(t, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    two = lambda t: F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(h, t[i + 1]), F.lit(BUCKETS)).cast("int"))
-    return df.withColumn("_f", let(F.transform(words(apart), lambda w: F.xxhash64(w)), lambda t: F.concat(one(t), two(t))))
+def token_ids(text: Column) -> Column:
+    """A hash for each token of a text; a punctuation mark or symbol is a token of its own."""
+    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\x20\x09-\x0D])", " $1 ")
+    return F.transform(words(apart), lambda w: F.xxhash64(w))
+
+
+def _one(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("bigint"))
+
+
+def _two(t: Column, h: Column, i: Column) -> Column:
+    """The bucket of a token and its successor; null for the last token."""
+    return F.when(i + 1 < F.size(t), F.xxhash64(h, F.get(t, i + 1)).bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCS) -> DataFrame:
@@ -82,8 +96,9 @@ def fit_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     The corpus counts cover every n-gram of every document. Counts are
     summed before the shuffle, so it moves at most BUCKETS rows a task.
     """
-    t = with_features(docs.select("doc_id", "text")).join(F.broadcast(trusted.withColumn("_good", F.lit(1))), "doc_id", "left")
-    grams = t.select(F.col("_good"), F.explode_outer("_f").alias("b")).where("b is not null")
+    t = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_good", F.lit(1))), "doc_id", "left")
+    both = let(token_ids(F.col("text")), lambda t: F.concat(F.transform(t, _one), F.transform(t, lambda h, i: _two(t, h, i))))
+    grams = t.select(F.col("_good"), F.explode_outer(both).alias("b")).where("b is not null")
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     totals = counts.agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
     # against the count expected if the trusted documents were like the corpus
@@ -105,10 +120,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     docs = docs.drop(*made)
     # BUCKETS numbers, folded into one constant of the plan (subqueries are not allowed in lambdas)
     w = F.split(F.lit(",".join(f"{x:.9g}" for x in fit_weights(docs, trusted_ids(labels)).first()["w"])), ",").cast("array<double>")
-    scored = with_features(rule_counts(docs))
-    mean = lambda f: F.when(F.size(f) > 0, F.aggregate(f, F.lit(0.0), lambda a, b: a + F.get(w, b)) / F.size(f)).otherwise(F.lit(0.0))
-    llr = let(F.col("_f"), mean)
-    scored = scored.withColumn("llr", llr)
+    n = lambda t: F.size(t) * 2 - 1
+    ratio = lambda t: F.transform(t, lambda h, i: F.get(w, _one(h)) + F.coalesce(F.get(w, _two(t, h, i)), F.lit(0.0)))
+    mean = lambda t: F.when(F.size(t) > 0, F.aggregate(ratio(t), F.lit(0.0), lambda a, r: a + r) / n(t)).otherwise(F.lit(0.0))
+    scored = rule_counts(docs).withColumn("llr", let(token_ids(F.col("text")), mean))
     return scored.select(*docs.columns, *made[:-1], (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
 
 
