@@ -9,12 +9,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.simhash import deduplicate_documents
+
+    return deduplicate_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.quality_rules import judge_documents
 
     return judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.pii import pseudonymise_documents
+
+    return pseudonymise_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.mixing import mix_documents
 
@@ -27,5 +39,11 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_mix_sources, op7_feistel_shards)}
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.bpe import encode_digests
+
+    return encode_digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op5_pseudonymise, op6_mix_sources, op7_feistel_shards, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
