@@ -21,6 +21,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.topk import search_embeddings
+
+    return search_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.token_shards import materialise_documents
+
+    return materialise_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.pii import pseudonymise_documents
 
@@ -45,5 +57,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op5_pseudonymise, op6_mix_sources, op7_feistel_shards, op8_byte_bpe)}
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.quality_model import classify
+
+    return classify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_ball_tree_top_k, op4_token_shards, op5_pseudonymise, op6_mix_sources, op7_feistel_shards, op8_byte_bpe, op10_weak_label_quality)}
 ORACLE_SQL: dict[str, str] = {}
