@@ -57,11 +57,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.repeats import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.quality_model import classify
 
     return classify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_ball_tree_top_k, op4_token_shards, op5_pseudonymise, op6_mix_sources, op7_feistel_shards, op8_byte_bpe, op10_weak_label_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_ball_tree_top_k, op4_token_shards, op5_pseudonymise, op6_mix_sources, op7_feistel_shards, op8_byte_bpe, op9_suffix_repeats, op10_weak_label_quality)}
 ORACLE_SQL: dict[str, str] = {}
