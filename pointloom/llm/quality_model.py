@@ -148,7 +148,9 @@ def fit_weak_labels(docs: DataFrame) -> tuple[dict[int, float], np.ndarray]:
 def fit_scorer(docs: DataFrame, posterior: dict[int, float], limit: int = TRAINING_DOCS) -> np.ndarray:
     """Trains the scorer in one task on ``limit`` documents at most; the weights (BUCKETS + 1 numbers) come back."""
     order = F.xxhash64("doc_id", "text")
-    sample = docs.select("doc_id", "text").select("doc_id", F.substring("text", 1, 1 << 16).alias("text"), order.alias("_o")).orderBy("_o", "doc_id").limit(limit)
+    # hashes alone are sorted; texts are then read again, so that tasks don't send a sample each
+    last = docs.select(order.alias("_o")).orderBy("_o").limit(limit).agg(F.max("_o")).first()[0]
+    sample = docs.select("doc_id", "text").where(order <= F.lit(last)).limit(limit)
 
     def of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, target = [], []
@@ -197,7 +199,6 @@ def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     No gold labels are used. Overlapping heuristics vote on every document; expectation-maximisation over the counts of vote patterns finds
     their accuracies and each pattern's posterior; posteriors train a linear scorer on hashed words and word shapes.
-    Training documents count with their first 65,536 characters; every document is voted on and scored whole.
 
     Null and empty texts have no features; they are voted too short and aren't kept. A null doc_id is kept. An empty table gives no rows.
     """
