@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heappop, heappush
@@ -16,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens a worker remembers; when full, the store starts anew.
-REMEMBERED = 400_000
-#: Longer pre-tokens are merged each time they occur.
-LONGEST_REMEMBERED = 64
+#: Pre-tokens a worker remembers; when there are more, the store starts anew with the next texts.
+REMEMBERED = 600_000
+#: Longer pre-tokens have a queue of their own.
+LONGEST_BATCHED = 64
+#: Characters of the texts whose new pre-tokens are merged together.
+MERGED_TOGETHER = 1 << 24
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -94,6 +97,102 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class PieceQueue:
+    """Merges many short pre-tokens at once with one rank queue.
+
+    All pre-tokens lie in one linked list with an end mark after each, so no pair crosses them. Taking the least rank of all is the least rank of
+    each that has it; of several places in one pre-token only the leftmost is merged, the others go back, as a merge may bring a lower rank.
+    """
+
+    _END = 0xFFFF
+
+    def __init__(self, ranks: dict[bytes, int]):
+        found = {(ranks[t[:k]] << 16) | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(found), np.int64)
+        self.made = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.single = np.array([ranks[bytes([c])] for c in range(256)], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, or -1."""
+        key = left << 16 | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token as little-endian 32-bit integers."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n = int(size.sum()) + len(pieces)
+        end = np.cumsum(size + 1) - 1
+        token = np.full(n + 1, self._END, np.int64)
+        inside = np.ones(n, bool)
+        inside[end] = False
+        token[:n][inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), size + 1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # place -1 is the last, an end mark
+        pair = np.append(self._rank(token[:-1], token[1:]), -1)
+        start = np.flatnonzero(pair >= 0)
+        start = start[np.argsort(pair[start], kind="stable")]
+        cuts = np.flatnonzero(np.diff(pair[start])) + 1
+        buckets = {int(pair[g[0]]): g.tolist() for g in np.split(start, cuts) if len(g)}
+        low: dict[int, int] = {}
+        for r in buckets:
+            low[r >> 8] = low.get(r >> 8, 0) | 1 << (r & 255)
+        top = sum(1 << w for w in low)
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = low[w]
+            r = w << 8 | (bits & -bits).bit_length() - 1
+            low[w] = bits = bits & bits - 1
+            if not bits:
+                top &= top - 1
+            at = np.array(buckets.pop(r))
+            at = at[pair[at] == r]
+            back: list[int] = []
+            if len(at) > 1:
+                at.sort()
+                whose = owner[at]
+                first = np.concatenate(([True], whose[1:] != whose[:-1]))
+                if not first.all():
+                    back = at[~first].tolist()
+                    at = at[first]
+            if not len(at):
+                continue
+            j = after[at]
+            k = after[j]
+            after[at] = k
+            before[k] = at
+            pair[j] = -1
+            token[at] = r
+            h = before[at]
+            both = np.concatenate((h, at))
+            new = self._rank(token[both], np.concatenate((token[at], token[k])))
+            pair[both] = new
+            some = np.flatnonzero(new >= 0)
+            for rank, place in [*zip(new[some].tolist(), both[some].tolist(), strict=True), *((r, x) for x in back)]:
+                if rank in buckets:
+                    buckets[rank].append(place)
+                else:
+                    buckets[rank] = [place]
+                    w = rank >> 8
+                    low[w] = low.get(w, 0) | 1 << (rank & 255)
+                    top |= 1 << w
+        # what is still linked: every place that its predecessor points to
+        alive = np.zeros(n + 2, bool)
+        alive[0] = True
+        alive[after[:n][self._linked(after, n)]] = True
+        alive = alive[:n] & inside
+        ids = token[:n][alive].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(owner[alive], minlength=len(pieces))) * 4
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    @staticmethod
+    def _linked(after: np.ndarray, n: int) -> np.ndarray:
+        """Places on the list, from the first on: those no jump of an earlier listed place passes over."""
+        reach = np.maximum.accumulate(np.concatenate(([0], after[:n])))[:n]
+        return np.flatnonzero(reach <= np.arange(n))
+
+
 class Codec:
     """Encodes and decodes with the ranks of one vocabulary file."""
 
@@ -103,32 +202,58 @@ class Codec:
         self.pieces = {i: b for b, i in self.ranks.items()}
         # white space by its Unicode property, as the library's patterns have it
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.seen = _Seen(self.ranks)
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        found = self.split.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.split.finditer(text))
-        out = b"".join(map(self.seen.__getitem__, found))
+        self.queue = PieceQueue(self.ranks)
+        self.seen = _Seen()
+        self.encoded: list[bytes] = []
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; new pre-tokens of all texts are merged together."""
+        numbers = []
+        for t in texts:
+            found = self.split.findall(t) if len(t) < 1 << 20 else (m[0] for m in self.split.finditer(t))
+            numbers.append(array("I", map(self.seen.__getitem__, found)))
+        new = [x.encode() for x in self.seen.new]
+        short = [x for x in new if len(x) <= LONGEST_BATCHED and x not in self.ranks]
+        merged = iter(self.queue.encode(short) if short else [])
+        self.encoded += [next(merged) if len(x) <= LONGEST_BATCHED and x not in self.ranks else np.array(encode_piece(x, self.ranks), "<u4").tobytes() for x in new]
+        self.seen.new.clear()
+        for x in numbers:
+            yield b"".join(map(self.encoded.__getitem__, x))
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        return out
+            self.encoded.clear()
+
+    def encode(self, text: str) -> bytes:
+        return next(iter(list(self.encode_many([text]))))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class _Seen(dict):
-    """Pre-token to encoded ids; what is missing is merged when asked for."""
+    """Pre-token to its number; what is new gets the next one and waits to be merged."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        self.new.append(token)
+        return n
+
 
-    def __missing__(self, token: str) -> bytes:
-        out = np.array(encode_piece(token.encode(), self.ranks), "<u4").tobytes()
-        if len(token) <= LONGEST_REMEMBERED:
-            self[token] = out
-        return out
+def _by_size(values: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of MERGED_TOGETHER characters or so."""
+    run, size = [], 0
+    for x in values:
+        run.append(x)
+        size += len(x)
+        if size > MERGED_TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 @cache
@@ -152,7 +277,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
         for col in texts:
-            yield pa.array([np.frombuffer(c.encode(_utf8(x)), "<i4") for x in col], pa.list_(pa.int32()))
+            yield pa.array([np.frombuffer(x, "<i4") for run in _by_size([_utf8(x) for x in col]) for x in c.encode_many(run)], pa.list_(pa.int32()))
 
     return df.withColumn(ids, of(F.col(text).cast("binary")))
 
@@ -182,11 +307,11 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for b in batches:
             n, of_ids, of_text = [], [], []
-            for x in b.column("text"):
-                ids = c.encode(_utf8(x))
-                n.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            for run in _by_size([_utf8(x) for x in b.column("text")]):
+                for ids in c.encode_many(run):
+                    n.append(len(ids) // 4)
+                    of_ids.append(hashlib.sha256(ids).hexdigest())
+                    of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
