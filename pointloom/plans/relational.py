@@ -1,0 +1,112 @@
+"""Queries that are one statement of SQL, in a dialect that Spark and the checking engine share.
+
+Counts and sums are cast to bigint, decimals written with an exponent so that both read doubles, and coordinates are whole numbers, so that
+sums don't depend on their order.
+"""
+
+from __future__ import annotations
+
+from pointloom.sources.tables import POINTS_SQL
+
+_PTS = f"pts as ({POINTS_SQL})"
+#: Cells: the first four points of an order, of its lines in key order. Corners p, q, r, s; owners are the points' sources.
+_RANKED = "ranked as (select *, row_number() over (partition by k1 order by k2, k3, k4) rn from pts)"
+_CORNERS = ", ".join(f"max(case when rn = {i} then {v} end) {c}{v}" for i, c in enumerate("pqrs", 1) for v in ("x", "y", "z")) + ", " + ", ".join(f"max(case when rn = {i} then src end) o{i}" for i in range(1, 5))
+_CELLS = f"{_PTS}, {_RANKED}, cells as (select k1 cell_id, {_CORNERS} from ranked where rn <= 4 group by k1 having count(*) = 4)"
+_U = {v: f"(q{v} - p{v})" for v in "xyz"}
+_V = {v: f"(r{v} - p{v})" for v in "xyz"}
+_W = {v: f"(s{v} - p{v})" for v in "xyz"}
+_DET = f"({_U['x']} * ({_V['y']} * {_W['z']} - {_V['z']} * {_W['y']}) - {_U['y']} * ({_V['x']} * {_W['z']} - {_V['z']} * {_W['x']}) + {_U['z']} * ({_V['x']} * {_W['y']} - {_V['y']} * {_W['x']}))"
+
+
+def _cross2(p: dict, q: dict) -> str:
+    """The squared length of a cross product."""
+    x, y, z = (f"({p[i]} * {q[j]} - {p[j]} * {q[i]})" for i, j in (("y", "z"), ("z", "x"), ("x", "y")))
+    return f"({x} * {x} + {y} * {y} + {z} * {z})"
+
+
+_OWNERS = "select cell_id, o1, o2, o3, o4, least(o1, o2, o3, o4) main_id from cells"
+_SHARED = "shared as (select distinct cell_id, main_id, owner from (select cell_id, least(o1, o2, o3, o4) main_id, o1 owner from cells union all select cell_id, least(o1, o2, o3, o4), o2 from cells union all select cell_id, least(o1, o2, o3, o4), o3 from cells union all select cell_id, least(o1, o2, o3, o4), o4 from cells))"
+#: Evidence masses of a cell: whole hundredths from its id.
+_MASS = "mass as (select cell_id, (cell_id % 50) * 1e-2 e, (cell_id % 37) * 1e-2 o from cells)"
+_EDGES = "edges as (select cast(a.n_nationkey as bigint) src, cast(b.n_nationkey as bigint) dst from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey)"
+_STATS = "stats as (select k1 % 97 tile_id, count(*) nv, cast(sum(k2) as bigint) nf, cast(sum(k3 % 5) as bigint) nc from pts group by k1 % 97)"
+
+SQL: dict[str, str] = {
+    "tile_overflow": f"with {_PTS}, t as (select k4 tile_id, count(*) n from pts group by k4) select tile_id, n, case when n > 620 then 1 else 0 end overflows from t where n >= 50",
+    "tile_totals": f"with {_PTS}, t as (select k4 tile_id, count(*) n from pts group by k4) select cast(sum(n) as bigint) total, max(n) largest, min(n) smallest, count(*) tiles from t",
+    "ndtree_ids": "with ids as (select distinct cast(l_partkey % 4096 as bigint) id from lineitem), c as (select id, cast(floor(id / 256) as bigint) i, cast(floor(id / 16) as bigint) % 16 j, id % 16 k from ids) select id, i, j, k, i * 256 + j * 16 + k back, cast(floor(i / 2) as bigint) * 64 + cast(floor(j / 2) as bigint) * 8 + cast(floor(k / 2) as bigint) parent from c",
+    "id_prefix_sum": f"with {_PTS}, {_STATS} select tile_id, " + ", ".join(f"cast(coalesce(sum({c}) over (order by tile_id rows between unbounded preceding and 1 preceding), 0) as bigint) {c}_offset" for c in ("nv", "nf", "nc")) + " from stats",
+    "mail_delivery": "with m as (select l_orderkey dst, count(*) n_mail, min(l_linenumber) first_line, max(l_partkey) last_part from lineitem group by l_orderkey) select cast(o_orderkey as bigint) tile_id, coalesce(n_mail, 0) n_mail, cast(first_line as bigint) first_line, cast(last_part as bigint) last_part from orders left join m on o_orderkey = dst",
+    "mail_split_semi": "select cast(o_orderkey as bigint) tile_id from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)",
+    "mail_split_anti": "select cast(o_orderkey as bigint) tile_id from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)",
+    "deliver_or_retain": f"with {_EDGES} select 'deliver' how, dst tile_id, count(*) n from edges group by dst union all select 'retain', src, count(*) from edges group by src",
+    "triplets": f"with {_EDGES} select src, dst, a.n_name src_name, b.n_name dst_name, cast(a.n_regionkey as bigint) attr from edges join nation a on src = a.n_nationkey join nation b on dst = b.n_nationkey",
+    "canonical_edges": "with e as (select cast(o_custkey % 50 as bigint) s, cast(o_orderkey % 50 as bigint) d from orders) select distinct least(s, d) src, greatest(s, d) dst from e where s <> d",
+    "collect_neighbors": f"with {_EDGES}, ways as (select src v, dst u from edges union all select dst, src from edges) select v, count(*) degree, min(u) lowest, max(u) highest, cast(sum(u) as bigint) total from ways group by v",
+    "clique_two_hop": f"with {_EDGES}, ways as (select src v, dst u from edges union all select dst, src from edges) select a.v, count(distinct e.src * 100 + e.dst) n_edges from ways a join edges e on (e.src = a.u or e.dst = a.u) and e.src <> a.v and e.dst <> a.v group by a.v",
+    "update_vertices": f"with {_EDGES}, msg as (select dst, count(*) n from edges group by dst) select cast(n_nationkey as bigint) id, coalesce(n, 0) attr from nation left join msg on n_nationkey = dst",
+    "bbox_intersections": f"with {_PTS}, b as (select k4 id, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from (select * from pts where k4 <= 60 and k2 = 1) group by k4) select p.id a, q.id b from b p join b q on p.id < q.id and p.x0 <= q.x1 and q.x0 <= p.x1 and p.y0 <= q.y1 and q.y0 <= p.y1",
+    "simplex_metrics": f"with {_CELLS} select cell_id, abs({_DET}) / 6 volume, (px + qx + rx + sx) / 4 gx, (py + qy + ry + sy) / 4 gy, (pz + qz + rz + sz) / 4 gz, sqrt({_cross2(_U, _V)}) / 2 area_pqr, case when {_DET} > 0 then 1 when {_DET} < 0 then -1 else 0 end orientation from cells",
+    "squared_distances": f"with {_CELLS} select cell_id, " + ", ".join(f"(({p}x - {q}x) * ({p}x - {q}x) + ({p}y - {q}y) * ({p}y - {q}y) + ({p}z - {q}z) * ({p}z - {q}z)) d_{p}{q}" for p, q in ("pq", "pr", "ps", "qr", "qs", "rs")) + " from cells",
+    "axis_projection": f"with {_CELLS} select cell_id, round((({_W['x']}) * ({_U['x']}) + ({_W['y']}) * ({_U['y']}) + ({_W['z']}) * ({_U['z']})) / (({_U['x']}) * ({_U['x']}) + ({_U['y']}) * ({_U['y']}) + ({_U['z']}) * ({_U['z']})), 9) + 0e0 coef from cells where px <> qx or py <> qy or pz <> qz",
+    "ownership_main": f"with {_CELLS}, own as ({_OWNERS}) select cell_id, main_id, case when o1 = o2 and o2 = o3 and o3 = o4 then 'local' else 'mixed' end kind from own",
+    "simplex_counts": f"with {_CELLS}, {_SHARED} select owner tile_id, count(*) n_cells, cast(sum(case when owner = main_id then 1 else 0 end) as bigint) n_main from shared group by owner",
+    "shared_cell_owners": f"with {_CELLS}, {_SHARED} select a.owner tile_k, b.owner tile_l, count(*) n_cells, min(a.cell_id) first_cell from shared a join shared b on a.cell_id = b.cell_id and a.owner <> b.owner group by a.owner, b.owner",
+    "main_first_numbers": f"with {_CELLS}, {_SHARED} select owner tile_id, cell_id, row_number() over (partition by owner order by case when owner = main_id then 0 else 1 end, cell_id) - 1 lid from shared",
+    "global_cell_ids": f"with {_CELLS}, {_SHARED}, t as (select owner, count(*) n from shared where owner = main_id group by owner), off as (select owner, cast(coalesce(sum(n) over (order by owner rows between unbounded preceding and 1 preceding), 0) as bigint) base from t) select s.cell_id, s.owner tile_id, base + row_number() over (partition by s.owner order by s.cell_id) - 1 gid from shared s join off on s.owner = off.owner where s.owner = s.main_id",
+    "evidence_exchange": f"with {_CELLS}, {_SHARED}, {_MASS} select s.owner dst, s.main_id src, s.cell_id, round(e, 9) vpe, round(o, 9) vpo from shared s join mass m on s.cell_id = m.cell_id where s.owner <> s.main_id",
+    "mass_regularize": f"with {_CELLS}, {_MASS}, c as (select cell_id, least(greatest(e * 2, 0e0), 1e0) a, least(greatest(o * 2, 0e0), 1e0) b from mass), d as (select *, greatest(1 - a - b, 0e0) u from c) select cell_id, round(a / (a + b + u), 9) e, round(b / (a + b + u), 9) o, round(u / (a + b + u), 9) u from d",
+    "mass_surface": f"with {_PTS}, s as (select k1, k2, k3, k4, x - 25 c, 1 + y / 100 s1, 1 + z / 10 s2, 2e0 s3, y / 50 c1, z / 20 c2 from pts), m as (select *, case when c > 0 then 1 - exp(-abs(c) / s3) / 2 when c < 0 then exp(-abs(c) / s3) / 2 else 5e-1 end e, case when c > 0 then exp(-abs(c) / s3) / 2 when c < 0 then 1 - exp(-abs(c) / s3) / 2 else 5e-1 end o, exp(-(c1 / s1) * (c1 / s1)) * exp(-(c2 / s2) * (c2 / s2)) * exp(-(c / greatest(s1, s2, s3)) * (c / greatest(s1, s2, s3))) w from s) select k1, k2, k3, k4, round(e * w, 8) vpe, round(o * w, 8) vpo from m",
+    "mass_beam": f"with {_PTS} select k1, k2, k3, k4, round(case when x - 10 > 0 then 1 - exp(-(x - 10) / 2 / (1 + z / 10)) else 0e0 end, 8) vpe from pts",
+    "ds_fusion": f"with {_CELLS}, {_MASS}, p as (select cell_id, e e1, o * (1 - e) o1, (1 - e) * (1 - o) u1, o e2, e * (1 - o) o2, (1 - e) * (1 - o) u2 from mass), k as (select *, o1 * e2 + e1 * o2 conflict from p where o1 * e2 + e1 * o2 < 1) select cell_id, round((e1 * e2 + e1 * u2 + u1 * e2) / (1 - conflict), 8) e, round((o1 * o2 + o1 * u2 + u1 * o2) / (1 - conflict), 8) o, round(u1 * u2 / (1 - conflict), 8) u from k",
+    "robust_kernels": f"with {_PTS} select distinct x, round(exp(-(x / 20) * (x / 20)), 9) score_pdf, round((pow(1 + x, 5e-1) - 1) / 5e-1, 9) m_estimator, round(pow(1 + x, -5e-1), 9) dm_estimator from pts",
+    "dimensionality": f"with {_PTS}, s as (select distinct greatest(x, y, z) + 3 s1, x + y + z - greatest(x, y, z) - least(x, y, z) + 2 s2, least(x, y, z) + 1 s3 from pts where k2 = 1), d as (select *, (s1 - s2) / (s1 + s2 + s3) d1, (s2 - s3) / (s1 + s2 + s3) d2, s3 / (s1 + s2 + s3) d3 from s) select s1, s2, s3, round(d1, 9) d1, round(d2, 9) d2, round(d3, 9) d3, round(-(d1 * ln(d1) + d2 * ln(d2) + d3 * ln(d3)), 8) entropy from d",
+    "auto_depth": f"with {_PTS}, t as (select src, count(*) n from pts group by src) select src, n, cast(greatest(floor(ln(n / 1e1) / ln(3e0) + 5e-1), 0) as bigint) depth from t",
+    "unary_cost": f"with {_CELLS}, {_MASS} select cell_id, round(abs(1 - e) + abs(0 - o), 9) cost_empty, round(abs(0 - e) + abs(1 - o), 9) cost_full from mass",
+    "energy": f"with {_CELLS}, {_MASS}, {_EDGES}, u as (select cast(sum(cast(floor((case when cell_id % 2 = 1 then 1 - e + o else e + 1 - o end) * 100 + 5e-1) as bigint)) as bigint) unary from mass), p as (select count(*) pairwise from edges where src % 2 <> dst % 2) select unary, pairwise from u cross join p",
+    "lagrange_update": "with s as (select l_orderkey cell, l_suppkey % 4 k, l_partkey % 4 l, l_linenumber % 2 lab_k, l_quantity % 2 lab_l, l_tax * 100 lag, 1 + l_linenumber tau, l_partkey % 3 - 1 old_diff from lineitem where l_suppkey % 4 <> l_partkey % 4), d as (select *, case when k < l then lab_k - lab_l else lab_l - lab_k end diff from s) select cast(cell as bigint) cell, cast(k as bigint) tile_k, cast(l as bigint) tile_l, round(cast(lag + tau * diff as double), 6) + 0e0 lagrange, cast(case when diff <> old_diff then tau / 2e0 else tau end as double) tau, cast(diff as bigint) diff from d",
+    "label_disagreement": f"with {_CELLS}, {_SHARED}, lab as (select cell_id, owner, (cell_id + owner) % 2 label from shared) select a.owner tile_id, cast(sum(case when a.label <> b.label then 1 else 0 end) as bigint) differing, count(*) total from lab a join lab b on a.cell_id = b.cell_id and a.owner <> b.owner group by a.owner",
+    "surface_facets": f"with {_CELLS}, f as (select cell_id, least(o1, o2, o3) v0, o1 + o2 + o3 - least(o1, o2, o3) - greatest(o1, o2, o3) v1, greatest(o1, o2, o3) v2, cell_id % 2 label from cells where o1 <> o2 and o2 <> o3 and o1 <> o3) select v0, v1, v2, count(*) n_cells, cast(sum(label) as bigint) n_empty from f group by v0, v1, v2 having min(label) <> max(label)",
+    "mesh_reindex": f"with {_PTS}, v as (select distinct x, y from pts where k2 <= 2) select x, y, dense_rank() over (order by x, y) - 1 vertex_id from v",
+    "scanline_segments": "with g as (select user_id, ts, event_id, value, lag(ts) over (partition by user_id order by ts, event_id) before from events), f as (select *, case when before is null or ts > before + interval '1' hour then 1 else 0 end cut from g), s as (select *, sum(cut) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) seg from f) select cast(user_id as bigint) scanline, cast(seg as bigint) segment, count(*) n, min(event_id) first_id, max(event_id) last_id from s group by user_id, seg",
+    "line_of_sight_fallback": f"with {_PTS}, s as (select k1, cast(sum(x) as double) / count(*) mx, cast(sum(y) as double) / count(*) my, max(z) + 2 * (max(x) - min(x)) mz from pts group by k1) select p.k1, p.k2, p.k3, p.k4, round(mx - x, 6) + 0e0 lx, round(my - y, 6) + 0e0 ly, mz - z lz from pts p join s on p.k1 = s.k1",
+    "sensor_default": f"with {_PTS} select k1, k2, k3, k4, x x_origin, y y_origin, coalesce(case when k2 = 1 then z * 2 end, z + 30) z_origin from pts",
+    "extreme_points": f"with {_PTS}, r as (select src, k1, k2, k3, k4, x, y, z, " + ", ".join(f"row_number() over (partition by src order by {a} {d}, k1, k2, k3, k4) {a}{d}" for a in "xyz" for d in ("asc", "desc")) + " from pts) select src, k1, k2, k3, k4, x, y, z from r where " + " or ".join(f"{a}{d} = 1" for a in "xyz" for d in ("asc", "desc")),
+    "pca_covariance": f"with {_PTS}, s as (select src, count(*) n, sum(x) sx, sum(y) sy, sum(z) sz, sum(x * x) sxx, sum(x * y) sxy, sum(y * y) syy, sum(x * z) sxz, sum(y * z) syz, sum(z * z) szz from pts group by src) select src, n, " + ", ".join(f"round((s{p}{q} - s{p} * s{q} / n) / n, 4) c{p}{q}" for p, q in ("xx", "xy", "yy", "xz", "yz", "zz")) + " from s",
+    "lloyd_step": f"with {_PTS}, c as (select i, 10 * i + 5 cx, 190 * i + 95 cy from (select 0 i union all select 1 union all select 2 union all select 3 union all select 4) t), d as (select p.*, i, (x - cx) * (x - cx) + (y - cy) * (y - cy) d2 from pts p cross join c), n as (select *, row_number() over (partition by k1, k2, k3, k4, x, y, z order by d2, i) rn from d) select cast(i as bigint) vertex, count(*) n, round(sum(x) / count(*), 8) x, round(sum(y) / count(*), 8) y, round(sum(z) / count(*), 8) z from n where rn = 1 group by i",
+    "octree_lod_levels": f"with {_PTS}, b as (select min(x) x0, min(y) y0, min(z) z0, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) side from pts), l as (select 0 lvl, 1 w union all select 1, 2 union all select 2, 4 union all select 3, 8), k as (select lvl, " + ", ".join(f"cast(least(floor(({a} - {a}0) * w / side), w - 1) as bigint) i{a}" for a in "xyz") + ", x, y, z from pts cross join b cross join l) select cast(lvl as int) lvl, ix, iy, iz, count(*) n, min(x) xmin, max(x) xmax, min(y) ymin, max(y) ymax, min(z) zmin, max(z) zmax from k group by lvl, ix, iy, iz",
+    "attr_count": "select cast(l_linenumber as bigint) attr, count(*) n from lineitem group by l_linenumber",
+    "attr_replace": "select l_linenumber old_value, case l_linenumber when 1 then 11 when 2 then 12 else l_linenumber end new_value, count(*) n from lineitem group by l_linenumber",
+    "buffer_tag": f"with {_PTS} select case when x between 10 and 40 and y between 100 and 600 then 1 else 0 end in_original, count(*) n, cast(sum(k2) as bigint) lines from pts where x between 5 and 45 and y between 50 and 650 group by case when x between 10 and 40 and y between 100 and 600 then 1 else 0 end",
+    "crop_bounds": f"with {_PTS} select k1, k2, k3, k4, x, y, z from pts where x between 10 and 20 and y between 100 and 200 and z between 0 and 50",
+    "colour_to_bytes": "select distinct cast(floor(l_extendedprice) as bigint) % 65536 v16, cast(floor((cast(floor(l_extendedprice) as bigint) % 65536) / 256) as bigint) v8 from lineitem",
+    "iter_stats": f"with {_PTS}, s as (select k2 it, cast(sum(case when x > 25 then 1 else 0 end) as bigint) a, count(*) b from pts group by k2) select it, a, b, round(cast(a as double) / b, 9) rate from s",
+    "timing_sums": "with t as (select event_type label, cast(floor(value * 100) as bigint) v from events) select translate(label, '0123456789aeiou', '') label, cast(sum(v) as bigint) total from t group by translate(label, '0123456789aeiou', '')",
+    "path_clean": "select page_id, regexp_replace(url, '^[a-z]+:/+', '') cleaned, length(url) n, case when length(translate(url, '0123456789', '')) = length(url) then 0 else 1 end has_digit from pages",
+    "union_bag": f"with {_PTS} select src, count(*) n from (select src from pts where x < 10 union all select src from pts where y < 100) u group by src",
+    "distinct_leaves": f"with {_PTS} select count(*) n from (select distinct src, x from pts) t",
+    "sent_once": f"with {_PTS}, m as (select distinct src, k4 % 5 dst, x, y, z from pts), s as (select distinct src, k4 % 5 dst, x, y, z from pts where k2 = 1) select m.src, m.dst, count(*) n from m where not exists (select 1 from s where m.src = s.src and m.dst = s.dst and m.x = s.x and m.y = s.y and m.z = s.z) group by m.src, m.dst",
+    "param_expand": "with p as (select 1 lam union all select 10), q as (select 'a' mode union all select 'b' union all select 'c'), r as (select 3 depth) select cast(lam as bigint) lam, mode, cast(depth as bigint) depth, cast(row_number() over (order by lam desc, mode) as bigint) run from p cross join q cross join r",
+    "color_transfer": f"with {_PTS}, v as (select distinct x, y from pts where k2 = 1 and k1 % 50 = 0), cloud as (select k1, x, y, z from pts where k2 = 2 and k1 % 20 = 0), d as (select v.x, v.y, c.k1, c.z, (v.x - c.x) * (v.x - c.x) + (v.y - c.y) * (v.y - c.y) d2 from v join cloud c on abs(v.x - c.x) <= 5 and abs(v.y - c.y) <= 5), r as (select *, row_number() over (partition by x, y order by d2, k1, z) rn from d) select v.x, v.y, coalesce(r.z, -1e0) colour from v left join r on v.x = r.x and v.y = r.y and r.rn = 1",
+}
+
+
+def _two_state(rounds: int) -> str:
+    """Belief propagation on two states over the same-region graph, from messages (1, 1); factor .7 for equal and .3 for different states."""
+    ctes = [
+        f"with {_EDGES}",
+        "prior as (select cast(n_nationkey as bigint) id, (1 + n_nationkey % 7) * 1e-1 p0, 1 - (1 + n_nationkey % 7) * 1e-1 p1 from nation)",
+        "m0 as (select src, dst, 1e0 a, 1e0 b from edges union all select dst, src, 1e0, 1e0 from edges)",
+        "b0 as (select id, p0, p1 from prior)",
+    ]
+    for i in range(1, rounds + 1):
+        # a message leaves out what came back along its edge
+        ctes.append(f"r{i} as (select m.src, m.dst, 7e-1 * (v.p0 / w.a) + 3e-1 * (v.p1 / w.b) x, 3e-1 * (v.p0 / w.a) + 7e-1 * (v.p1 / w.b) y from m{i - 1} m join b{i - 1} v on v.id = m.src join m{i - 1} w on w.src = m.dst and w.dst = m.src)")
+        ctes.append(f"m{i} as (select src, dst, x / (x + y) a, y / (x + y) b from r{i})")
+        ctes.append(f"s{i} as (select p.id, ln(p.p0) + coalesce(sum(ln(m.a)), 0e0) l0, ln(p.p1) + coalesce(sum(ln(m.b)), 0e0) l1 from prior p left join m{i} m on m.dst = p.id group by p.id, p.p0, p.p1)")
+        ctes.append(f"b{i} as (select id, exp(l0 - greatest(l0, l1)) p0, exp(l1 - greatest(l0, l1)) p1 from s{i})")
+    return ", ".join(ctes) + f" select id, round(p0, 8) p0, round(p1, 8) p1 from b{rounds}"
+
+
+SQL |= {"bp_two_state_iter1": _two_state(1), "bp_two_state_iter3": _two_state(3)}
