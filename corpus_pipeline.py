@@ -14,7 +14,7 @@ from pointloom.llm.common import Scratch
 from pointloom.llm.mixing import mix
 from pointloom.llm.pii import pseudonymise_documents
 from pointloom.llm.quality_rules import quality_rules
-from pointloom.llm.simhash import near_duplicates
+from pointloom.llm.simhash import drop_near_duplicates
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one of least doc_id (of rows that share it, all; a component without ids stays whole)."""
-    found = near_duplicates(docs)
-    kept = Scratch(spark).table(found.where("doc_id = component_id").select("doc_id").distinct())
-    nameless = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").unionByName(nameless)
+    """One document of each component of near-duplicates, that of least doc_id."""
+    return drop_near_duplicates(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

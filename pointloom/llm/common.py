@@ -116,3 +116,23 @@ def _div(x: Column, k: int) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]
+
+
+#: A table of bitmaps is broadcast up to this size; 4 KB stand for 32,768 rows.
+BROADCAST_BITMAPS = 64 << 20
+
+
+def with_marks(rows: DataFrame, marks: DataFrame, scratch: Scratch, name: str = "mark", planes: int = 1) -> DataFrame:
+    """The rows of ``rows`` (with a bigint ``uid``) that ``marks`` (uid, mark from 1 to 2**planes - 1) has, and their mark.
+
+    ``uid`` is monotonically_increasing_id() of a file scan, which gives each row the same number whenever it is read. Marks become
+    bitmaps, a bit for each row and plane, so that the wide rows need no shuffle where the bitmaps fit BROADCAST_BITMAPS; beyond that, both sides are shuffled by the bitmap's number.
+    """
+    bits = [F.expr(f"bitmap_construct_agg(bitmap_bit_position(uid)) filter (where mark & {1 << p} > 0)").alias(f"_bits{p}") for p in range(planes)]
+    maps = scratch.table(marks.groupBy(F.bitmap_bucket_number("uid").alias("_b")).agg(*bits))
+    if maps.count() * planes * 4096 <= BROADCAST_BITMAPS:
+        maps = F.broadcast(maps)
+    byte = "conv(hex(substring(_bits{p}, cast(bitmap_bit_position(uid) div 8 + 1 as int), 1)), 16, 10)"
+    mark = " + ".join(f"{1 << p} * (({byte.format(p=p)} div cast(pow(2, bitmap_bit_position(uid) % 8) as int)) % 2)" for p in range(planes))
+    joined = rows.join(maps, F.bitmap_bucket_number("uid") == F.col("_b"))
+    return joined.select(*rows.columns, F.expr(f"cast({mark} as int)").alias(name)).where(F.col(name) > 0)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE, Scratch, let, with_row_number
+from pointloom.llm.common import SPACE, Scratch, let, with_marks, with_row_number
 
 BLOCK = 64
 
@@ -160,7 +161,8 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), stop: float = 3.0, seed: in
 
     ``docs`` must read the same rows in the same order each time (a file scan does), as rows are matched by position.
     """
-    placed = docs.select("*", F.monotonically_increasing_id().alias("_row"))
-    taken = mix_documents(docs, F.monotonically_increasing_id(), weights, stop, seed).where("copies > 0").select(F.col("row_id").alias("_row"), "copies")
-    taken = Scratch(docs.sparkSession).table(taken)
-    return placed.join(taken, "_row").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("_copy")).drop("_copy")
+    copies = mix_documents(docs, F.monotonically_increasing_id(), weights, stop, seed).where("copies > 0")
+    marks = copies.select(F.col("row_id").alias("uid"), F.col("copies").cast("int").alias("mark"))
+    placed = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("_d"))
+    taken = with_marks(placed, marks, Scratch(docs.sparkSession), "_copies", math.ceil(stop).bit_length())
+    return taken.select("_d", F.explode(F.sequence(F.lit(1), "_copies"))).select("_d.*")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch
+from pointloom.llm.common import Scratch, with_marks
 
 #: Length of the strings; of an anchor; the anchors that a window chooses from.
 LENGTH, GRAM = 200, 64
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     kinds = scratch.table(hg.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"))
     asked = scratch.table(hg.join(kinds, "h").select("h", "g", "n", "d", "r.uid", "r.at", "r.first", "r.last"))
     total = asked.count()
-    texts = _texts_of(docs, asked.select("uid").distinct(), scratch)
+    texts = with_marks(docs, asked.select("uid", F.lit(1).alias("mark")), scratch).drop("mark")
     cut = F.substring(F.col("text"), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + LENGTH).cast("int"))
     contexts = texts.join(asked, "uid").withColumn("context", cut).drop("text")
     buckets = max(1, -(-total // BUCKET))
@@ -255,18 +255,6 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(whole.unionByName(found.where("kind = 0").select("uid", "first", "last")).unionByName(crossed))
 
 
-def _texts_of(docs: DataFrame, uids: DataFrame, scratch: Scratch) -> DataFrame:
-    """(uid, text) of the documents ``uids``.
-
-    A bitmap of the ids (a bit for each document, 4 KB for 32,768) thins the scan before it is shuffled, where it is small enough for Spark to broadcast;
-    else the join moves all texts.
-    """
-    bits = scratch.table(uids.groupBy(F.bitmap_bucket_number("uid").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("uid")).alias("_bits")))
-    bit = "(conv(hex(substring(_bits, cast(bitmap_bit_position(uid) div 8 + 1 as int), 1)), 16, 10) div cast(pow(2, bitmap_bit_position(uid) % 8) as int)) % 2 = 1"
-    thin = docs.join(bits, F.bitmap_bucket_number("uid") == F.col("_b")).where(bit)
-    return thin.select("uid", "text")
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row: bytes covered by a LENGTH-byte string that also starts elsewhere go.
 
@@ -304,7 +292,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out, pa.string())], ["uid", "kept"])
 
-    texts = _texts_of(rows.select("uid", "text"), cut.select("uid"), scratch)
+    texts = with_marks(rows.select("uid", "text"), cut.select("uid", F.lit(1).alias("mark")), scratch)
     kept = scratch.table(texts.join(cut, "uid").select("uid", "text", "starts", "ends").mapInArrow(keep, "uid bigint, kept string"))
     final = rows.select("uid", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     small = cut.join(kept, "uid").select("uid", "n_removed", F.size("starts").cast("bigint").alias("n_spans"), "kept")

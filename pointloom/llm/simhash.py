@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, with_row_number
+from pointloom.llm.common import Scratch, with_marks, with_row_number
 from pointloom.llm.components import connected_components
 
 RADIUS = 4
@@ -73,14 +73,15 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed bigint; null and empty texts have 0."""
+    """(uid, doc_id, fp): the row's number in the scan, and the fingerprint of each row's whole text as a signed bigint; null and empty texts have 0."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = np.fromiter((fingerprint(x.as_py() or b"", shingle, seed) for x in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(fp.view(np.int64))], ["uid", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(batches, "doc_id bigint, fp bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(batches, "uid bigint, doc_id bigint, fp bigint")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -193,7 +194,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIU
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp bigint, component_id): each row's fingerprint and the least doc_id of the documents linked to it, directly or by others.
+    """(uid, doc_id, fp bigint, root bigint, component_id): each row's fingerprint, the least fingerprint of its component, and the least doc_id of the documents linked to it, directly or by others.
 
     Documents with equal fingerprints are one node, so copies cost one comparison however many they are.
     Null and empty texts have fingerprint 0 and are linked like any other. A null doc_id takes no part in the minimum; a
@@ -206,9 +207,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, see
     linked = connected_components(links, scratch).withColumnRenamed("node", "fp")
     own = scratch.table(linked.join(nodes, "fp").select("fp", "component", "least"))
     least = scratch.table(own.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = own.join(least, "component").select("fp", F.col("component_id").alias("_c"))
-    ids = scratch.table(nodes.join(named, "fp", "left").select("fp", F.when(F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col("least")).alias("component_id")))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    named = own.join(least, "component").select("fp", "component", F.col("component_id").alias("_c"))
+    ids = scratch.table(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("_c", "least").alias("component_id")))
+    return prints.join(ids, "fp").select("uid", "doc_id", "fp", "root", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` (a file scan) with one row of each component: that of least doc_id, of rows that share it the first read."""
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"]
+    marks = near_duplicates(docs).groupBy("root").agg(best.alias("uid")).select("uid", F.lit(1).alias("mark"))
+    placed = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("_d"))
+    return with_marks(placed, marks, Scratch(docs.sparkSession)).select("_d.*")
 
 
 def deduplicate_documents(docs: DataFrame) -> DataFrame:
