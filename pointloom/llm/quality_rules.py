@@ -15,8 +15,8 @@ BUCKETS = 1 << 16
 TRUSTED_DOCS = 20_000
 #: Pseudo-counts a bucket.
 PRIOR = 4.0
-#: Documents whose mean log-likelihood ratio is below this are not kept.
-THRESHOLD = 0.0
+#: Documents whose mean log-likelihood ratio is below this are not kept; a fifth of a nat below even leaves room for the noise of short texts.
+THRESHOLD = -0.2
 
 
 def _without(text: Column, put: str) -> Column:
