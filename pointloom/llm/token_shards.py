@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import Scratch
@@ -46,72 +47,101 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return y
 
 
-def sequence_counts(text: str, stride: int):
-    """How many sequences a text makes as bytes and END: at least one."""
-    return F.ceil((F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1) / F.lit(stride)).cast("bigint")
+def token_count() -> Column:
+    """Tokens of a text as bytes and END."""
+    return (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
 
 
-def place_sequences(docs: DataFrame, stride: int, slots_per_shard: int, key: int, payload: bool) -> DataFrame:
-    """(doc_id, seq, slot, shard, byte_offset, n_tokens, crc32[, payload]): a row for each sequence of ``stride`` tokens.
-
-    ``docs`` is a file scan. Sequences are numbered in the order of files and rows; a number's image under ``permute`` is its slot. Numbers need no
-    sort and no shuffle: a count for each file split gives where the split begins. The order doesn't
-    depend on how files are split or which task reads them.
-    """
+def _splits(docs: DataFrame, stride: int) -> tuple[DataFrame, DataFrame, int]:
+    """The scan with its splits' keys; (_f, _s, base), the number of the first sequence of each split; the number of all sequences."""
     scan = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"))
-    counts = scan.groupBy("_f", "_s").agg(F.sum(sequence_counts("text", stride)).alias("n"))
+    counts = scan.groupBy("_f", "_s").agg(F.ceil(F.sum(token_count()) / F.lit(stride)).cast("bigint").alias("n"))
     # one row for each split of the files, so as many as the scan has tasks
     before = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
     bases = Scratch(docs.sparkSession).table(counts.select("_f", "_s", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    total = int(bases.agg(F.sum("n")).first()[0] or 0)
-    based = scan.join(F.broadcast(bases.select("_f", "_s", "base")), ["_f", "_s"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), "base")
+    return scan, bases.select("_f", "_s", "base"), int(bases.agg(F.sum("n")).first()[0] or 0)
+
+
+def _based(scan: DataFrame, bases: DataFrame) -> DataFrame:
+    return scan.join(F.broadcast(bases), ["_f", "_s"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), "base")
 
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
 
-        used: dict[int, int] = {}
+def pack_sequences(scan: DataFrame, bases: DataFrame, total: int, stride: int, slots_per_shard: int, key: int) -> DataFrame:
+    """(shard, slot, payload): the texts of a split one after the other, cut every ``stride`` tokens; only a split's last sequence is filled up."""
+
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(numbers: list[int], parts: list[bytes]) -> pa.RecordBatch:
+            slot = permute(np.array(numbers, np.int64), total, key)
+            return pa.RecordBatch.from_arrays([pa.array(slot // slots_per_shard), pa.array(slot), pa.array(parts, pa.binary())], ["shard", "slot", "payload"])
+
+        rest, base, number = b"", None, 0
         for b in it:
-            ids, seqs, number, counts, crcs, bytes_ = [], [], [], [], [], []
-            for doc_id, text, base in zip(b.column("doc_id"), b.column("text"), b.column("base"), strict=True):
-                raw = (text.as_py() or b"") + bytes([END])
-                doc_id, base = doc_id.as_py(), base.as_py()
-                at = used.get(base, 0)
-                parts = range(0, len(raw), stride)
-                used[base] = at + len(parts)
-                for k, a in enumerate(parts):
-                    part = raw[a : a + stride]
-                    counts.append(len(part))
-                    part = part.ljust(stride, bytes([PAD]))
+            numbers, parts = [], []
+            for text, own in zip(b.column("text"), b.column("base").to_pylist(), strict=True):
+                if own != base:
+                    if rest:
+                        numbers.append(number)
+                        parts.append(rest.ljust(stride, bytes([PAD])))
+                    rest, base, number = b"", own, own
+                raw = rest + (text.as_py() or b"") + bytes([END])
+                whole = len(raw) // stride
+                parts += [raw[k * stride : (k + 1) * stride] for k in range(whole)]
+                numbers += range(number, number + whole)
+                number += whole
+                rest = raw[whole * stride :]
+            yield rows(numbers, parts)
+        if rest:
+            yield rows([number], [rest.ljust(stride, bytes([PAD]))])
+
+    return _based(scan, bases).mapInArrow(pack, "shard bigint, slot bigint, payload binary")
+
+
+def place_documents(scan: DataFrame, bases: DataFrame, total: int, stride: int, slots_per_shard: int, key: int) -> DataFrame:
+    """(doc_id, piece, slot, shard, byte_offset, n_tokens, crc32): where each piece of each document went, a piece for each sequence it reaches into."""
+    names = ["doc_id", "piece", "slot", "shard", "byte_offset", "n_tokens", "crc32"]
+
+    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, used = None, 0
+        for b in it:
+            ids, pieces, number, within, counts, crcs = [], [], [], [], [], []
+            for doc_id, text, own in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("base").to_pylist(), strict=True):
+                if own != base:
+                    base, used = own, 0
+                raw, at, k = (text.as_py() or b"") + bytes([END]), 0, 0
+                while at < len(raw):
+                    n = min(len(raw) - at, stride - used % stride)
                     ids.append(doc_id)
-                    seqs.append(k)
-                    number.append(base + at + k)
-                    crcs.append(zlib.crc32(part))
-                    if payload:
-                        bytes_.append(part)
+                    pieces.append(k)
+                    number.append(base + used // stride)
+                    within.append(used % stride)
+                    counts.append(n)
+                    crcs.append(zlib.crc32(raw[at : at + n]))
+                    at, used, k = at + n, used + n, k + 1
             slot = permute(np.array(number, np.int64), total, key)
-            cols = [pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(slot), pa.array(slot // slots_per_shard), pa.array(slot % slots_per_shard * (stride + RECORD_END)), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(bytes_, pa.binary())] if payload else [])], names + ["payload"] * payload)
+            offset = slot % slots_per_shard * (stride + RECORD_END) + np.array(within, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, pieces, slot, slot // slots_per_shard, offset, counts, crcs)], names)
 
-    names = ["doc_id", "seq", "slot", "shard", "byte_offset", "n_tokens", "crc32"]
-    return based.mapInArrow(cut, ", ".join(f"{n} bigint" for n in names) + ", payload binary" * payload)
+    return _based(scan, bases).mapInArrow(place, ", ".join(f"{n} bigint" for n in names))
 
 
 def write_shards(docs: DataFrame, path: str, stride: int = 1024, slots_per_shard: int = 16_384, key: int = 11) -> DataFrame:
-    """Writes ``path``/shard=<k>/ with one file each and returns where every sequence went (without the payload).
+    """Writes ``path``/shard=<k>/ with one file each and returns where every piece of every document went (without the payload).
+
+    ``docs`` is a file scan. Tokens are the bytes of the UTF-8 text and END; the texts of a file split are packed one after the other into sequences of ``stride``
+    tokens, the last of which is filled up with PAD. Sequences are numbered by file and place, which needs a count for each split but no sort; a number's image under
+    ``permute`` is its slot. The same files and split size give the same shards, whichever task reads what.
 
-    Tokens are the bytes of the UTF-8 text and END; the last sequence of a document is filled up with PAD. Slot s lies in shard s div
-    ``slots_per_shard`` at byte (s mod ``slots_per_shard``) * (``stride`` + 1), so a reader that knows its last slot goes on with one seek.
+    Slot s lies in shard s div ``slots_per_shard`` at byte (s mod ``slots_per_shard``) * (``stride`` + 1), so a reader that knows its last slot goes on with one seek.
     Shards are ranges of slots and have equal sizes (but the last), whatever the documents' keys or lengths are.
 
-    A null or empty text is one sequence of END alone; a null doc_id is kept; an empty table writes nothing.
+    A null or empty text is END alone; a null doc_id is kept; an empty table writes nothing.
     """
-    rows = place_sequences(docs, stride, slots_per_shard, key, True).select("shard", "slot", "payload")
-    placed = place_sequences(docs, stride, slots_per_shard, key, False)
-    total = docs.select(F.sum(sequence_counts("text", stride))).first()[0] or 0
+    scan, bases, total = _splits(docs, stride)
+    rows = pack_sequences(scan, bases, total, stride, slots_per_shard, key)
     shards = max(1, -(-total // slots_per_shard))
     ordered = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "slot")
     ordered.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    return placed
+    return place_documents(scan, bases, total, stride, slots_per_shard, key)
 
 
 def read_shards(spark: SparkSession, path: str, stride: int = 1024, slots_per_shard: int = 16_384, first_slot: int = 0) -> DataFrame:
@@ -125,5 +155,5 @@ def read_shards(spark: SparkSession, path: str, stride: int = 1024, slots_per_sh
 
 
 def materialise_documents(docs: DataFrame, stride: int = 1024, slots_per_shard: int = 16_384, key: int = 11) -> DataFrame:
-    """Writes all documents as shards into the shared folder; returns where each sequence went, with the CRC of its record."""
+    """Writes all documents as shards into the shared folder; returns where each piece went, with its CRC."""
     return write_shards(docs, Scratch(docs.sparkSession).base + "/shards", stride, slots_per_shard, key)

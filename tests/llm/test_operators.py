@@ -150,16 +150,21 @@ def test_top_k(spark):
 def test_token_shards(spark, docs, edge, tmp_path):
     for k, (df, rows) in enumerate(both(docs, edge)):
         placed = token_shards.write_shards(df, f"{tmp_path}/{k}", 64, 100).collect()
-        assert sorted(r.slot for r in placed) == list(range(len(placed)))
         read = {r.slot: bytes(r.payload) for r in token_shards.read_shards(spark, f"{tmp_path}/{k}", 64, 100).collect()}
-        assert all(zlib.crc32(read[r.slot]) == r.crc32 for r in placed) and len(read) == len(placed)
-        texts = Counter((i, (t or "").encode()) for i, t in rows)
-        if k == 0:
-            for (i, raw), _ in texts.items():
-                own = sorted((r.seq, r.slot, r.n_tokens) for r in placed if r.doc_id == i)
-                assert b"".join(read[s][:n] for _, s, n in own) == raw + bytes([token_shards.END])
+        assert sorted(read) == list(range(len(read))) and {r.slot for r in placed} == set(read)
+        found = {}
+        for r in sorted(placed, key=lambda r: (str(r.doc_id), r.piece)):
+            at = r.byte_offset - r.slot % 100 * 65
+            part = read[r.slot][at : at + r.n_tokens]
+            assert zlib.crc32(part) == r.crc32 and r.shard == r.slot // 100
+            found[r.doc_id] = found.get(r.doc_id, b"") + part
+        texts = Counter(i for i, _ in rows)
+        for i, t in rows:
+            if texts[i] == 1:
+                assert found[i] == (t or "").encode() + bytes([token_shards.END])
+        assert sum(map(len, found.values())) == sum(len((t or "").encode()) + 1 for _, t in rows)
         late = token_shards.read_shards(spark, f"{tmp_path}/{k}", 64, 100, first_slot=150).collect()
-        assert sorted(r.slot for r in late) == list(range(150, len(placed)))
+        assert sorted(r.slot for r in late) == list(range(150, len(read)))
 
 
 def test_pseudonyms(edge):
