@@ -54,3 +54,17 @@ def test_delaunay_of_random_and_cospherical_points():
     _, volume = check_delaunay(grid[rng.permutation(64)])
     assert abs(volume - 27) < 1e-9
     assert len(predicates.delaunay(np.column_stack((rng.random((9, 2)), np.zeros(9))))) == 0
+
+
+def test_tiles_give_the_cells_of_the_whole_cloud(spark):
+    from pointloom.operators import delaunay
+
+    rng = np.random.default_rng(7)
+    xyz = np.concatenate((rng.integers(0, 100, (70, 3)), [[0, 0, 0], [99, 99, 99], [5, 5, 5], [5, 5, 5]])).astype(float)
+    rows = [(int(p[0] // 50), i, *p.tolist()) for i, p in enumerate(xyz)]
+    df = spark.createDataFrame(rows + [(1, 999, float("nan"), 0.0, 0.0)], "tile_id bigint, id bigint, x double, y double, z double")
+    cells = predicates.delaunay(xyz[:-1])
+    want = sorted(tuple(sorted(map(int, c))) for c in cells[(cells >= 0).all(1)])
+    got = sorted((r.a, r.b, r.c, r.d) for r in delaunay.delaunay_cells(df).collect())
+    assert got == want
+    assert delaunay.delaunay_cells(df.limit(0)).count() == 0
