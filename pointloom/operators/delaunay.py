@@ -144,3 +144,14 @@ def delaunay_cells(points: DataFrame) -> DataFrame:
         active = new.select("tile_id").distinct()
     ids = F.sort_array(F.array(*_V))
     return done.where("r2 >= 0 and main = tile_id").select("tile_id", *[ids[i].alias(v) for i, v in enumerate(_V)])
+
+
+def dual_edges(cells: DataFrame) -> DataFrame:
+    """(u, v, w, first, second): the facets (corners by rising id) of ``cells`` (a, b, c, d), each with the least and the greatest opposite corner of its one or two cells; they are equal on the hull.
+
+    A facet and its two opposite corners name both cells, so these rows are the edges of the Voronoi diagram. One shuffle; a facet has two rows at most.
+    """
+    corners = F.array(*_V)
+    parts = [F.struct(*[corners[j].alias(n) for n, j in zip("uvw", [j for j in range(4) if j != i], strict=True)], corners[i].alias("o")) for i in range(4)]
+    rows = cells.select(F.explode(F.array(*parts)).alias("f")).select("f.*")
+    return rows.groupBy("u", "v", "w").agg(F.min("o").alias("first"), F.max("o").alias("second"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators import tiling
+from pointloom.plans import iterative
 from pointloom.plans.relational import SQL
 from pointloom.sources.tables import POINTS_SQL, points
 
@@ -69,5 +70,5 @@ def _of(sql: str):
     return run
 
 
-QUERIES = {f.__name__: f for f in _DATAFRAMES} | {name: _of(sql) for name, sql in SQL.items()}
-ORACLE_SQL = {f.__name__: sql for f, sql in _DATAFRAMES.items()} | SQL
+QUERIES = {f.__name__: f for f in _DATAFRAMES} | {name: _of(sql) for name, sql in SQL.items()} | iterative.QUERIES
+ORACLE_SQL = {f.__name__: sql for f, sql in _DATAFRAMES.items()} | SQL | iterative.ORACLE_SQL

@@ -68,3 +68,44 @@ def test_tiles_give_the_cells_of_the_whole_cloud(spark):
     got = sorted((r.a, r.b, r.c, r.d) for r in delaunay.delaunay_cells(df).collect())
     assert got == want
     assert delaunay.delaunay_cells(df.limit(0)).count() == 0
+
+
+def test_surface_of_a_full_cloud_is_closed_and_faces_outwards(spark):
+    import json
+
+    from pointloom.operators import delaunay, surface
+
+    rng = np.random.default_rng(10)
+    xyz = rng.random((40, 3)) * 10
+    cells = predicates.delaunay(xyz)
+    cells = np.sort(cells[(cells >= 0).all(1)], 1)
+    df = spark.createDataFrame([(*map(int, c), 0) for c in cells], "a bigint, b bigint, c bigint, d bigint, label int")
+    faces = surface.surface(df, cloud(spark, xyz)).collect()
+    edges = [(r[i], r[j]) for r in faces for i, j in (("u", "v"), ("v", "w"), ("w", "u"))]
+    assert faces and len(set(edges)) == len(edges) and {(b, a) for a, b in edges} == set(edges)
+    volume = sum(np.dot(xyz[r.u], np.cross(xyz[r.v], xyz[r.w])) for r in faces) / 6
+    u = xyz[cells]
+    assert abs(volume - np.abs(np.linalg.det(u[:, :3] - u[:, 3:])).sum() / 6) < 1e-9
+    assert surface.surface(df, cloud(spark, xyz), closed=False).count() == 0
+    # the dual: hull facets have one cell
+    dual = delaunay.dual_edges(df).collect()
+    assert sum(r.first == r.second for r in dual) == len(faces) and 2 * len(dual) - len(faces) == 4 * len(cells)
+    vertices, again = surface.reindexed(surface.surface(df, cloud(spark, xyz)).selectExpr("7L tile_id", "u", "v", "w"), cloud(spark, xyz))
+    ids = {r.row: r.id for r in vertices.collect()}
+    assert sorted(ids) == list(range(len(ids))) and {(ids[r.u], ids[r.v], ids[r.w]) for r in again.collect()} == {(r.u, r.v, r.w) for r in faces}
+    boxes = spark.createDataFrame([(t, float(t), t + 1.0, 0.0, 1.0, 0.0, 1.0) for t in range(4)], "tile_id bigint, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double")
+    tree = json.loads(surface.tileset(surface.tile_tree(boxes, 2), 2))["root"]
+    assert tree["boundingVolume"]["box"][:4] == [2, 0.5, 0.5, 2] and len(tree["children"]) == 2 and all(len(c["children"]) == 2 for c in tree["children"])
+
+
+def test_local_shape_has_least_entropy(spark):
+    rng = np.random.default_rng(11)
+    xyz = rng.random((40, 3)) * [10, 5, 1]
+    for r in neighbours.local_shape(cloud(spark, xyz), 2.0, 10, 25).where("id < 5").collect():
+        order = np.argsort(((xyz - xyz[r.id]) ** 2).sum(1))
+        best = []
+        for k in range(10, 26):
+            s = np.linalg.svd(xyz[order[:k]] - xyz[order[:k]].mean(0), compute_uv=False)
+            d = np.array([s[0] - s[1], s[1] - s[2], s[2]]) / s.sum()
+            best.append(-(d * np.log(d)).sum())
+        assert r.k == 10 + int(np.argmin(best)) and abs(r.entropy - min(best)) < 1e-9
