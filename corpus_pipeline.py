@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pointloom.llm.bpe import encode_digests
 from pointloom.llm.common import Scratch
 from pointloom.llm.mixing import mix
+from pointloom.llm.near_copies import drop_near_copies as drop_copies
 from pointloom.llm.pii import pseudonymise_documents
 from pointloom.llm.quality_rules import quality_rules
-from pointloom.llm.simhash import drop_near_duplicates
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that of least doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each component of near-copies (5-word shingles, Jaccard similarity 0.8 or more), that of least doc_id."""
+    return drop_copies(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, with_marks, with_row_number
+from pointloom.llm.common import Scratch, with_row_number
 from pointloom.llm.components import connected_components
 
 RADIUS = 4
@@ -39,14 +39,10 @@ def _words(raw: bytes) -> Iterator[list[bytes]]:
         yield [rest]
 
 
-def fingerprint(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of the word shingles of a UTF-8 text; 0 without words.
-
-    A-Z become a-z; shingles count as often as they occur; a text of fewer words is one shingle. A bit is 1 if
-    it is set in over half the XXH64 hashes.
-    """
+def shingle_hashes(raw: bytes, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 hashes of the word shingles of a UTF-8 text, a block at a time; A-Z become a-z, a text of fewer words is one shingle."""
     h = xxhash.xxh64_intdigest
-    n, ones, carry = 0, np.zeros(64, np.int64), []
+    n, carry = 0, []
     for words in _words(raw.translate(_LOWER)):
         words = carry + words
         for a in range(0, len(words) - shingle + 1, _HASHES):
@@ -56,10 +52,22 @@ def fingerprint(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
             starts = np.concatenate(([0], ends[: len(part) - shingle]))
             hashes = np.fromiter((h(joined[s:e], seed) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
             n += len(hashes)
-            ones += _bit_counts(hashes)
+            yield hashes
         carry = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
-    if not n:
-        return h(b" ".join(carry), seed) if carry else 0
+    if not n and carry:
+        yield np.array([h(b" ".join(carry), seed)], np.uint64)
+
+
+def fingerprint(raw: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of the word shingles of a UTF-8 text; 0 without words.
+
+    A-Z become a-z; shingles count as often as they occur; a text of fewer words is one shingle. A bit is 1 if
+    it is set in over half the XXH64 hashes.
+    """
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(raw, shingle, seed):
+        n += len(hashes)
+        ones += _bit_counts(hashes)
     return sum(1 << k for k in range(64) if 2 * int(ones[k]) > n)
 
 
@@ -212,14 +220,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, see
     return prints.join(ids, "fp").select("uid", "doc_id", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` (a file scan) with one row of each component: that of least doc_id, of rows that share it the first read."""
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"]
-    marks = near_duplicates(docs).groupBy("root").agg(best.alias("uid")).select("uid", F.lit(1).alias("mark"))
-    placed = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("_d"))
-    return with_marks(placed, marks, Scratch(docs.sparkSession)).select("_d.*")
-
-
 def deduplicate_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every document; see ``near_duplicates``."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
