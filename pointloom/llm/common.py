@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +119,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_uid(docs: DataFrame, cols: list[Column | str], scratch: Scratch) -> DataFrame:
+    """``uid`` (bigint) and ``cols`` of ``docs``; a row has the same uid whenever and however it is read.
+
+    For Parquet files, uid is the file's number, in the order of the paths, times 2**33 and the row's place in its file. Neither follows from how a
+    scan is split, which changes with the number of live cores. Other input is written once, with its numbers.
+    """
+    try:
+        scan = docs.select(*cols, F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"))
+    except AnalysisException:
+        named = docs.select(*cols)
+        return scratch.table(named.select(F.monotonically_increasing_id().alias("uid"), *named.columns))
+    # one row for each file
+    paths = docs.select(F.col("_metadata.file_path").alias("_f")).distinct()
+    files = scratch.table(paths.select("_f", (F.row_number().over(Window.orderBy("_f")) - 1).cast("bigint").alias("_n")))
+    joined = scan.join(F.broadcast(files), "_f")
+    return joined.select((F.shiftleft("_n", 33) + F.col("_r")).alias("uid"), *[c for c in scan.columns if c not in ("_f", "_r")])
+
+
 #: A table of bitmaps is broadcast up to this size; 4 KB stand for 32,768 rows.
 BROADCAST_BITMAPS = 64 << 20
 
@@ -125,7 +144,7 @@ BROADCAST_BITMAPS = 64 << 20
 def with_marks(rows: DataFrame, marks: DataFrame, scratch: Scratch, name: str = "mark", planes: int = 1) -> DataFrame:
     """The rows of ``rows`` (with a bigint ``uid``) that ``marks`` (uid, mark from 1 to 2**planes - 1) has, and their mark.
 
-    ``uid`` is monotonically_increasing_id() of a file scan, which gives each row the same number whenever it is read. Marks become
+    ``uid`` is that of ``with_uid``. Marks become
     bitmaps, a bit for each row and plane, so that the wide rows need no shuffle where the bitmaps fit BROADCAST_BITMAPS; beyond that, both sides are shuffled by the bitmap's number.
     """
     bits = [F.expr(f"bitmap_construct_agg(bitmap_bit_position(uid)) filter (where mark & {1 << p} > 0)").alias(f"_bits{p}") for p in range(planes)]

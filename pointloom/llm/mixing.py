@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE, Scratch, let, with_marks, with_row_number
+from pointloom.llm.common import SPACE, Scratch, let, with_marks, with_row_number, with_uid
 
 BLOCK = 64
 
@@ -159,10 +159,11 @@ def mix_documents(docs: DataFrame, row_id: Column | None = None, weights: tuple
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), stop: float = 3.0, seed: int = 5) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as ``mix_documents`` takes it, with the columns of ``docs``.
 
-    ``docs`` must read the same rows in the same order each time (a file scan does), as rows are matched by position.
+    Rows are matched by ``with_uid``.
     """
-    copies = mix_documents(docs, F.monotonically_increasing_id(), weights, stop, seed).where("copies > 0")
+    scratch = Scratch(docs.sparkSession)
+    placed = with_uid(docs, [F.struct("*").alias("_d")], scratch)
+    copies = mix_documents(placed.select("uid", "_d.doc_id", "_d.source", "_d.text"), F.col("uid"), weights, stop, seed).where("copies > 0")
     marks = copies.select(F.col("row_id").alias("uid"), F.col("copies").cast("int").alias("mark"))
-    placed = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("_d"))
-    taken = with_marks(placed, marks, Scratch(docs.sparkSession), "_copies", math.ceil(stop).bit_length())
+    taken = with_marks(placed, marks, scratch, "_copies", math.ceil(stop).bit_length())
     return taken.select("_d", F.explode(F.sequence(F.lit(1), "_copies"))).select("_d.*")

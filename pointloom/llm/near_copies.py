@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, with_marks
+from pointloom.llm.common import Scratch, with_marks, with_uid
 from pointloom.llm.components import connected_components
 from pointloom.llm.simhash import shingle_hashes
 
@@ -79,7 +79,7 @@ def _link_bucket(table: pa.Table) -> pa.Table:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, root): each row's number in the scan, and the least node of the texts linked to its own, directly or by others.
+    """(uid, doc_id, root) for ``docs`` (uid, _d; see ``with_uid``): each row's number, and the least node of the texts linked to its own, directly or by others.
 
     A link is a pair of texts whose true similarity was computed and reaches LEAST. Pairs are looked for in buckets (texts with an equal band key), which hold texts that
     are alike; a bucket and its sets are worked in by one task. Null and empty texts are one node.
@@ -97,7 +97,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             found = [shingle_set(x.as_py() or b"") for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "items"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select("uid", F.col("_d.doc_id").cast("bigint").alias("doc_id"), F.col("_d.text").cast("binary").alias("text"))
     prints = scratch.table(rows.mapInArrow(keys, "uid bigint, doc_id bigint, node bigint, keys array<bigint>"))
     nodes = prints.groupBy("node").agg(F.min(F.struct("uid", "keys")).alias("r")).select("node", "r.uid", F.posexplode("r.keys").alias("band", "key"))
     nodes = scratch.table(nodes)
@@ -119,8 +119,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` (a file scan) with one row of each component: that of least doc_id, of rows that share it the first read."""
+    """``docs`` with one row of each component: that of least doc_id, of rows that share it that of least uid."""
+    scratch = Scratch(docs.sparkSession)
+    placed = with_uid(docs, [F.struct("*").alias("_d")], scratch)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"]
-    marks = near_copies(docs).groupBy("root").agg(best.alias("uid")).select("uid", F.lit(1).alias("mark"))
-    placed = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("_d"))
-    return with_marks(placed, marks, Scratch(docs.sparkSession)).select("_d.*")
+    marks = near_copies(placed).groupBy("root").agg(best.alias("uid")).select("uid", F.lit(1).alias("mark"))
+    return with_marks(placed, marks, scratch).select("_d.*")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, with_marks
+from pointloom.llm.common import Scratch, with_marks, with_uid
 
 #: Length of the strings; of an anchor; the anchors that a window chooses from.
 LENGTH, GRAM = 200, 64
@@ -225,7 +225,7 @@ def _search_bucket(table: pa.Table) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(uid, first, last): runs of windows that occur more than once, for ``docs`` (uid bigint, text binary; a file scan).
+    """(uid, first, last): runs of windows that occur more than once, for ``docs`` (uid bigint, text binary; see ``with_uid``).
 
     1. Each window belongs to one anchor (a content-defined sample, one in about 60 bytes), equal windows to anchors of equal hash h.
     2. Anchors whose windows' whole bytes (g) occur again have repeated windows only: no text is moved for them.
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null texts count as empty and lose nothing, as do texts below LENGTH bytes; repeated rows lose all. A null doc_id is kept. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    rows = with_uid(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")], scratch)
     spans = repeated_spans(rows.select("uid", "text"), scratch)
     per = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("s"))
 
