@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import hashlib
 import math
@@ -159,17 +160,20 @@ def _phone(s: str, key: bytes) -> str | None:
 _FIRST_YEAR, _YEARS = 1900, 200
 
 
-@lru_cache(4)
-def _calendar(part: str) -> tuple[tuple[tuple[int, int, int], ...], dict[tuple[int, int, int], int]]:
+@lru_cache(8)
+def _calendar(part: str, first: int = _FIRST_YEAR, years: int = _YEARS) -> tuple[tuple[tuple[int, int, int], ...], dict[tuple[int, int, int], int]]:
     """The dates that a written form may stand for: all, those with a day over 12, or those whose day could be a month."""
-    days = [(y, m, d) for y in range(_FIRST_YEAR, _FIRST_YEAR + _YEARS) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1)]
+    days = [(y, m, d) for y in range(first, first + years) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1)]
     days = [x for x in days if part == "all" or (x[2] > 12) == (part == "late")]
     return tuple(days), {x: i for i, x in enumerate(days)}
 
 
 def _date(s: str, key: bytes) -> str | None:
+    if any(c.isalpha() for c in s):
+        return _named_date(s, key)
     sep = next(c for c in s if c not in _DIGITS)
     p = s.split(sep)
+    short = all(len(x) < 3 for x in p)
     if len(p[0]) == 4:
         order, part = (0, 1, 2), "all"
     else:
@@ -177,18 +181,64 @@ def _date(s: str, key: bytes) -> str | None:
         part = "late" if a > 12 or b > 12 else "early"
         # day first with dots or where the first number can't be a month
         order = (2, 1, 0) if a > 12 or part == "early" and sep == "." else (2, 0, 1)
-    days, index = _calendar(part)
+    # a year of two digits is one of 2000 to 2099
+    days, index = _calendar(part, 2000, 100) if short else _calendar(part)
     y, m, d = (int(p[i]) for i in order)
-    if (y, m, d) not in index:
+    if (y + 2000 * short, m, d) not in index:
         return None
-    new = days[_permute(f"date{part}", len(days), index[y, m, d], key)]
+    new = days[_permute(f"date{part}{'2' * short}", len(days), index[y + 2000 * short, m, d], key)]
     out = [""] * 3
-    padded = any(len(x) == 2 and x[0] == "0" for x in p) or all(len(x) != 1 for x in p)
+    padded = any(len(x) == 2 and x[0] == "0" for x in p[: 2 if short else 3]) or all(len(x) != 1 for x in p)
     for i, v in zip(order, new, strict=True):
         out[i] = str(v).zfill(2) if padded else str(v)
+    if short:
+        out[2] = f"{new[0] % 100:02d}"
     return sep.join(out)
 
 
+#: Names of months by language, in full and short; of a name that several have, the first counts.
+_MONTHS = [x.split() for x in (
+    "January February March April May June July August September October November December", "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec",
+    "Januar Februar M\u00e4rz April Mai Juni Juli August September Oktober November Dezember", "janvier f\u00e9vrier mars avril mai juin juillet ao\u00fbt septembre octobre novembre d\u00e9cembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+)]
+_MONTH_OF = {n.lower(): (names, i) for names in reversed(_MONTHS) for i, n in enumerate(names)}
+_MONTH = "(?:" + "|".join(sorted(map(re.escape, _MONTH_OF), key=len, reverse=True)) + ")"
+_NAMED = re.compile(
+    rf"(?P<d1>\d{{1,2}})(?P<o1>\.|st|nd|rd|th|er)?(?P<g1>[ ]of[ ]|[ ]de[ ]|[ -])(?P<m1>{_MONTH})\.?(?P<g2>,?[ ]|[ ]de[ ]|[ ]del[ ]|-)(?P<y1>\d{{4}})(?!\w)"
+    rf"|(?P<m2>{_MONTH})(?P<g3>\.?[ ])(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?P<g4>,?[ ])(?P<y2>\d{{4}})(?!\w)",
+    re.IGNORECASE,
+)
+
+
+def _named_date(s: str, key: bytes) -> str | None:
+    m = _NAMED.fullmatch(s)
+    k = "1" if m["m1"] else "2"
+    names, month = _MONTH_OF[m["m" + k].lower()]
+    days, index = _calendar("all")
+    if (at := index.get((int(m["y" + k]), month + 1, int(m["d" + k])))) is None:
+        return None
+    y, mo, d = days[_permute("dateall", len(days), at, key)]
+    old, name = m["m" + k], names[mo - 1]
+    name = name.lower() if old == old.lower() else name.upper() if old == old.upper() else name.capitalize()
+    day = str(d).zfill(2) if m["d" + k][0] == "0" else str(d)
+    end = m["o" + k] or ""
+    if end == "er":
+        end = "er" if d == 1 else ""
+    elif end and end != ".":
+        end = "th" if 10 < d < 14 else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
+    put = {m.start("m" + k): (m.end("m" + k), name), m.start("d" + k): (m.end("o" + k) if m["o" + k] else m.end("d" + k), day + end), m.start("y" + k): (m.end("y" + k), str(y))}
+    out, i = [], 0
+    while i < len(s):
+        if i in put:
+            i, new = put[i]
+            out.append(new)
+        else:
+            out.append(s[i])
+            i += 1
+    return "".join(out)
+
+
 def _email(s: str, key: bytes) -> str | None:
     local, _, domain = s.rpartition("@")
     if any(c in _LOWER + _UPPER + _DIGITS for c in local):
@@ -203,19 +253,83 @@ def _secret(s: str, key: bytes) -> str | None:
     return _by_class("secret", s, key, (_HEX,)) if s == low else _by_class("secret", s, key, (_HEX.upper(),)) if s == s.upper() else _by_class("secret", s, key)
 
 
-_NUMBERS = re.compile(
-    r"""(?<![\w])(?:
-    (?P<iban>[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![\w]))
-    |(?<!\d\.)(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
-    |(?P<date>(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\w|[-/.]\d))
-    |(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w]|-\d))
-    |(?P<card>\d(?:[\ -]?\d){12,18}(?![\w]))
-    |(?P<phone>(?:\+1[\ .-]?|1[\ .-])?(?:\(\d{3}\)[\ .-]?|\d{3}[\ .-])\d{3}[\ .-]?\d{4}(?![\w])|\+\d{1,3}[\ .-]?(?:\(?\d{1,4}\)?[\ .-]?){1,4}\d{2,4}(?![\w])|\+1\d{10}(?![\w]))
-    )""",
-    re.VERBOSE | re.ASCII,
+#: A place where a value may begin, to the end of its word.
+_START = re.compile(r"(?<!\w)[+(]?[0-9]\w*|(?<!\w)[A-Z]{2}[0-9]{2}\w*")
+_FORMS = (
+    ("ip", re.compile(r"(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", re.ASCII)),
+    ("date", re.compile(r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?=T\d)|(?!\w|[-/.]\d))", re.ASCII)),
+    ("date", re.compile(r"(?<![-/.])(?:\d{1,2}/\d{1,2}/\d{2}|\d{2}([-.])\d{2}\1\d{2})(?:(?=T\d)|(?!\w|[-/.]\d))", re.ASCII)),
+    ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)", re.ASCII)),
 )
+_PHONES = re.compile(r"(?:\+1[\ .-]?|1[\ .-])?(?:\(\d{3}\)[\ .-]?|\d{3}[\ .-])\d{3}[\ .-]?\d{4}|\+\d{1,3}[\ .-]?(?:\(?\d{1,4}\)?[\ .-]?){1,4}\d{2,4}|\+1\d{10}", re.ASCII)
+_PHONE_RUN = re.compile(r"\+?\(?\d(?:[ .()-]{0,3}\d){6,18}", re.ASCII)
+_CARD_RUN = re.compile(r"\d(?:[ -]?\d){12,18}", re.ASCII)
+_IBAN_RUN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}", re.ASCII)
+_CARD_LEAD = re.compile(r"4|5[0-8]|6|3[04-9]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)")
+_CARD_GROUPS = re.compile(r"\d{13,19}|\d{4}([ -])(?:\d{4}\1){2}\d{1,4}|\d{4}([ -])(?:\d{4}\2){3}\d{1,3}|\d{4}([ -])\d{6}\3\d{4,5}")
+#: Lengths of the IBANs of a country.
+_IBAN_LENGTHS = dict((x[:2], int(x[2:])) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 "
+    "LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split())
+
+
+def _ends(text: str, run: re.Match) -> Iterator[int]:
+    """Ends of words of a run, the last first."""
+    for b in range(run.end(), run.start(), -1):
+        if text[b - 1] not in " .-(" and not (b < len(text) and (text[b].isalnum() or text[b] == "_")):
+            yield b
+
+
+def _candidates(text: str, key: bytes) -> Iterator[tuple[int, int, int, str, str]]:
+    """(rank, start, minus the end, kind, pseudonym) of all values that pass their checks; they may overlap, and the least rank is the surest.
+
+    Every word that may begin a value is tried, whether or not one before it passed, with every end that a card, IBAN or phone number may have there.
+    """
+    # a date in words ends with its year, which is found first: names of months are looked for only before it
+    for year in _YEAR.finditer(text):
+        for m in _NAMED.finditer(text, max(0, year.start() - 32), year.end()):
+            if m.end() == year.end() and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")) and (new := _named_date(m[0], key)):
+                yield 0, m.start(), -m.end(), "date", new
+    for at in _START.finditer(text):
+        a, first = at.start(), text[at.start()]
+        if first in _DIGITS:
+            for kind, form in _FORMS:
+                if (m := form.match(text, a)) and (new := _OF[kind](m[0], key)):
+                    yield 0, a, -m.end(), kind, new
+            if run := _CARD_RUN.match(text, a):
+                # other groupings and unknown networks only where they are the whole of their run of digits
+                alone = not (a > 1 and text[a - 1] in " -" and text[a - 2] in _DIGITS)
+                whole = not re.compile(r"[ -]?\w").match(text, run.end())
+                for b in _ends(text, run):
+                    s = text[a:b]
+                    sure = _CARD_GROUPS.fullmatch(s) and _CARD_LEAD.match(s)
+                    if (sure or alone and (whole and b == run.end() or _CARD_GROUPS.fullmatch(s))) and sum(map(str.isdigit, s)) >= 13 and (new := _card(s, key)):
+                        yield 0 if sure else 2, a, -b, "card", new
+        if first.isalpha():
+            if run := _IBAN_RUN.match(text, a):
+                for b in _ends(text, run):
+                    if new := _iban(text[a:b], key):
+                        yield 0 if _IBAN_LENGTHS.get(text[a : a + 2]) == len(text[a:b].replace(" ", "")) else 1, a, -b, "iban", new
+        elif run := _PHONE_RUN.match(text, a):
+            for b in _ends(text, run):
+                if _PHONES.fullmatch(text, a, b) and (new := _phone(text[a:b], key)):
+                    yield 1, a, -b, "phone", new
+                    break
+
+
+def _numbers(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
+    """Values of the text that don't overlap: the surest first, of equal ones the first, and the longest."""
+    taken: list[tuple[int, int, str, str]] = []
+    for _, a, b, kind, new in sorted(_candidates(text, key)):
+        k = bisect.bisect(taken, (a,))
+        if (not k or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= -b):
+            taken.insert(k, (a, -b, kind, new))
+    return taken
+
+
 _SECRETS = re.compile(r"(?i:token|secret|passw(?:or)?d|api[_ -]?key|key)(?:[ ]{0,3}[=:][ ]{0,3})[\"']?([0-9A-Fa-f]{24,128})(?![0-9A-Za-z])")
 _DIGIT_SEEN = re.compile("[0-9]")
+_YEAR = re.compile(r"(?<=[ -])(?:19|20)[0-9]{2}(?!\w)")
 _OF = {"card": _card, "iban": _iban, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date}
 
 
@@ -241,9 +355,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         found += [(a, b, "email", new) for a, b in _emails(text) if (new := _email(text[a:b], key))]
     if _DIGIT_SEEN.search(text):
         found += [(*m.span(1), "secret", new) for m in _SECRETS.finditer(text) if (new := _secret(m[1], key))]
-        for m in _NUMBERS.finditer(text):
-            if new := _OF[m.lastgroup if m.lastgroup in _OF else "date"](m[0], key):
-                found.append((*m.span(), m.lastgroup if m.lastgroup in _OF else "date", new))
+        found += _numbers(text, key)
     if not found:
         return text, {}
     out, end, counts = [], 0, {}
@@ -258,7 +370,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
 def pseudonymise_documents(docs: DataFrame, key: str = "change me", text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and a column n_<kind> (int) for each of KINDS.
 
-    Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, US social security numbers, phone numbers, calendar dates of 1900 to 2099,
+    Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, US social security numbers, phone numbers, calendar dates of 1900 to 2099 (in figures, with two-digit years, or with English, German, French or Spanish month names),
     e-mail addresses and hexadecimal secrets after a word such as token are replaced by others of the same form,
     with valid check digits, by a keyed one-to-one map: equal values stay equal in all documents, different ones
     different, and none stays as it is. What fails its check is left alone.
