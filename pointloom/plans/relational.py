@@ -91,6 +91,13 @@ SQL: dict[str, str] = {
     "color_transfer": f"with {_PTS}, v as (select distinct x, y from pts where k2 = 1 and k1 % 50 = 0), cloud as (select k1, x, y, z from pts where k2 = 2 and k1 % 20 = 0), d as (select v.x, v.y, c.k1, c.z, (v.x - c.x) * (v.x - c.x) + (v.y - c.y) * (v.y - c.y) d2 from v join cloud c on abs(v.x - c.x) <= 5 and abs(v.y - c.y) <= 5), r as (select *, row_number() over (partition by x, y order by d2, k1, z) rn from d) select v.x, v.y, coalesce(r.z, -1e0) colour from v left join r on v.x = r.x and v.y = r.y and r.rn = 1",
 }
 
+#: The same over all lines: the statements of these names in SQL above read a part of them.
+SQL |= {
+    "bbox_intersections_all": f"with {_PTS}, b as (select k4 id, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from pts group by k4) select p.id a, q.id b from b p join b q on p.id < q.id and p.x0 <= q.x1 and q.x0 <= p.x1 and p.y0 <= q.y1 and q.y0 <= p.y1",
+    "dimensionality_all": f"with {_PTS}, s as (select distinct greatest(x, y, z) + 3 s1, x + y + z - greatest(x, y, z) - least(x, y, z) + 2 s2, least(x, y, z) + 1 s3 from pts), d as (select *, (s1 - s2) / (s1 + s2 + s3) d1, (s2 - s3) / (s1 + s2 + s3) d2, s3 / (s1 + s2 + s3) d3 from s) select s1, s2, s3, round(d1, 9) d1, round(d2, 9) d2, round(d3, 9) d3, round(-(d1 * ln(d1) + d2 * ln(d2) + d3 * ln(d3)), 8) entropy from d",
+    "mesh_reindex_all": f"with {_PTS}, v as (select distinct x, y from pts) select x, y, dense_rank() over (order by x, y) - 1 vertex_id from v",
+}
+
 
 def _two_state(rounds: int) -> str:
     """Belief propagation on two states over the same-region graph, from messages (1, 1); factor .7 for equal and .3 for different states."""
