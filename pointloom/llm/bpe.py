@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heappop, heappush
+from itertools import batched
 
 import numpy as np
 import public_tokenizers
@@ -16,13 +18,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import give_back
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens a worker remembers; when there are more, the store starts anew with the next texts.
-REMEMBERED = 600_000
+#: Bytes a worker holds for pre-tokens it remembers, about; when they are more, the store starts anew, also within a text.
+REMEMBERED = 64 << 20
+#: What a remembered pre-token takes besides its characters: two strings, their headers and places.
+_OVERHEAD = 200
 #: Longer pre-tokens have a queue of their own.
 LONGEST_BATCHED = 64
-#: Characters of the texts whose new pre-tokens are merged together.
-MERGED_TOGETHER = 1 << 24
+#: Characters of new pre-tokens that are merged together at most, and of the texts that are worked on together.
+MERGED_TOGETHER, TOGETHER = 1 << 20, 1 << 23
 
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -37,9 +43,10 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     get = ranks.get
-    after = list(range(1, n + 2))
-    before = list(range(-1, n + 1))
-    pair = [-1] * (n + 1)
+    # 12 bytes for each byte of the pre-token
+    after = array("i", range(1, n + 2))
+    before = array("i", range(-1, n + 1))
+    pair = array("i", [-1]) * (n + 1)
     buckets: dict[int, list[int]] = {}
     low: dict[int, int] = {}
     top = 0
@@ -104,37 +111,43 @@ class PieceQueue:
     each that has it; of several places in one pre-token only the leftmost is merged, the others go back, as a merge may bring a lower rank.
     """
 
-    _END = 0xFFFF
+    #: No id: a pair with it has a negative key, whatever the vocabulary's size.
+    _END = -1
 
     def __init__(self, ranks: dict[bytes, int]):
-        found = {(ranks[t[:k]] << 16) | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        found = {(ranks[t[:k]] << 32) | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.keys = np.array(sorted(found), np.int64)
-        self.made = np.array([found[k] for k in self.keys.tolist()], np.int64)
-        self.single = np.array([ranks[bytes([c])] for c in range(256)], np.int64)
+        self.made = np.array([found[k] for k in self.keys.tolist()], np.int32)
+        self.single = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, or -1."""
-        key = left << 16 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(-1))
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each pre-token as little-endian 32-bit integers."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(size.sum()) + len(pieces)
         end = np.cumsum(size + 1) - 1
-        token = np.full(n + 1, self._END, np.int64)
+        token = np.full(n + 1, self._END, np.int32)
         inside = np.ones(n, bool)
         inside[end] = False
         token[:n][inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces)), size + 1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)  # place -1 is the last, an end mark
-        pair = np.append(self._rank(token[:-1], token[1:]), -1)
-        start = np.flatnonzero(pair >= 0)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size + 1)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # place -1 is the last, an end mark
+        pair = np.full(n + 1, -1, np.int32)
+        for a in range(0, n, 1 << 17):
+            b = min(a + (1 << 17), n)
+            pair[a:b] = self._rank(token[a:b], token[a + 1 : b + 1])
+        start = np.flatnonzero(pair >= 0).astype(np.int32)
         start = start[np.argsort(pair[start], kind="stable")]
         cuts = np.flatnonzero(np.diff(pair[start])) + 1
-        buckets = {int(pair[g[0]]): g.tolist() for g in np.split(start, cuts) if len(g)}
+        # a bucket's places: those it had at first, in their order, and those that merges have added
+        buckets: dict[int, tuple[np.ndarray, list[int]]] = {int(pair[g[0]]): (g, []) for g in np.split(start, cuts) if len(g)}
+        none = np.zeros(0, np.int32)
         low: dict[int, int] = {}
         for r in buckets:
             low[r >> 8] = low.get(r >> 8, 0) | 1 << (r & 255)
@@ -146,7 +159,9 @@ class PieceQueue:
             low[w] = bits = bits & bits - 1
             if not bits:
                 top &= top - 1
-            at = np.array(buckets.pop(r))
+            at, added = buckets.pop(r)
+            if added:
+                at = np.concatenate((at, np.array(added, np.int32)))
             at = at[pair[at] == r]
             back: list[int] = []
             if len(at) > 1:
@@ -171,9 +186,9 @@ class PieceQueue:
             some = np.flatnonzero(new >= 0)
             for rank, place in [*zip(new[some].tolist(), both[some].tolist(), strict=True), *((r, x) for x in back)]:
                 if rank in buckets:
-                    buckets[rank].append(place)
+                    buckets[rank][1].append(place)
                 else:
-                    buckets[rank] = [place]
+                    buckets[rank] = (none, [place])
                     w = rank >> 8
                     low[w] = low.get(w, 0) | 1 << (rank & 255)
                     top |= 1 << w
@@ -193,6 +208,17 @@ class PieceQueue:
         return np.flatnonzero(reach <= np.arange(n))
 
 
+def _ascii_pattern(pattern: str) -> re.Pattern | regex.Pattern:
+    """The pattern as it reads for ASCII texts, with its classes spelt out for the standard library, which is twice as fast there."""
+    inside = {r"\s": r"\t-\r ", r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+    named = re.compile(r"\\s|\\p\{[LN]\}")
+    spelt = re.sub(r"\[[^\]]*\]", lambda m: named.sub(lambda c: inside[c[0]], m[0]), pattern)
+    spelt = re.sub(r"(\[[^\]]*\])|(\\s|\\S|\\p\{[LN]\})", lambda m: m[1] or (r"[^\t-\r ]" if m[2] == r"\S" else f"[{inside[m[2]]}]"), spelt)
+    if r"\p" in spelt or r"\P" in spelt:
+        return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    return re.compile(spelt, re.ASCII)
+
+
 class Codec:
     """Encodes and decodes with the ranks of one vocabulary file."""
 
@@ -202,29 +228,63 @@ class Codec:
         self.pieces = {i: b for b, i in self.ranks.items()}
         # white space by its Unicode property, as the library's patterns have it
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.ascii_split = _ascii_pattern(pattern)
         self.queue = PieceQueue(self.ranks)
         self.seen = _Seen()
         self.encoded: list[bytes] = []
 
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; new pre-tokens of all texts are merged together."""
-        numbers = []
-        for t in texts:
-            found = self.split.findall(t) if len(t) < 1 << 20 else (m[0] for m in self.split.finditer(t))
-            numbers.append(array("I", map(self.seen.__getitem__, found)))
+    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; new pre-tokens of many texts are merged together.
+
+        Held at once: TOGETHER characters of texts or one text, their ids, and about REMEMBERED bytes of pre-tokens.
+        """
+        for run in _by_size(texts):
+            done: list[list[bytes]] = [[] for _ in run]
+            numbers = [array("I") for _ in run]
+            for k, t in enumerate(run):
+                for found in self._pieces(t):
+                    numbers[k].extend(map(self.seen.__getitem__, found))
+                    if self.seen.waiting > MERGED_TOGETHER:
+                        self._merge()
+                    if self.seen.held > REMEMBERED:
+                        self._settle(done, numbers)
+                        self.forget()
+            self._settle(done, numbers)
+            for parts in done:
+                yield parts[0] if len(parts) == 1 else b"".join(parts)
+
+    def forget(self) -> None:
+        """Drops the remembered pre-tokens."""
+        self.seen.clear()
+        self.encoded.clear()
+        self.seen.held = 0
+
+    def _pieces(self, text: str) -> Iterator[list[str] | tuple[str, ...]]:
+        split = self.ascii_split if text.isascii() else self.split
+        if len(text) < 1 << 18:
+            yield split.findall(text)
+        else:
+            yield from batched((m[0] for m in split.finditer(text)), 1 << 15)
+
+    def _merge(self) -> None:
+        """Encodes the pre-tokens that wait."""
         new = [x.encode() for x in self.seen.new]
         short = [x for x in new if len(x) <= LONGEST_BATCHED and x not in self.ranks]
         merged = iter(self.queue.encode(short) if short else [])
         self.encoded += [next(merged) if len(x) <= LONGEST_BATCHED and x not in self.ranks else np.array(encode_piece(x, self.ranks), "<u4").tobytes() for x in new]
         self.seen.new.clear()
-        for x in numbers:
-            yield b"".join(map(self.encoded.__getitem__, x))
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-            self.encoded.clear()
+        self.seen.waiting = 0
+
+    def _settle(self, done: list[list[bytes]], numbers: list[array]) -> None:
+        """Turns the numbers of pre-tokens so far into ids."""
+        self._merge()
+        for parts, x in zip(done, numbers, strict=True):
+            if x or not parts:
+                parts.append(b"".join(map(self.encoded.__getitem__, x)))
+                del x[:]
 
     def encode(self, text: str) -> bytes:
-        return next(iter(list(self.encode_many([text]))))
+        return next(self.encode_many([text]))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -236,20 +296,23 @@ class _Seen(dict):
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.waiting = self.held = 0
 
     def __missing__(self, token: str) -> int:
         self[token] = n = len(self)
         self.new.append(token)
+        self.waiting += len(token)
+        self.held += 2 * len(token) + _OVERHEAD
         return n
 
 
-def _by_size(values: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of MERGED_TOGETHER characters or so."""
+def _by_size(values: Iterable[str]) -> Iterator[list[str]]:
+    """Runs of texts of TOGETHER characters or so."""
     run, size = [], 0
     for x in values:
         run.append(x)
         size += len(x)
-        if size > MERGED_TOGETHER:
+        if size > TOGETHER:
             yield run
             run, size = [], 0
     if run:
@@ -277,7 +340,9 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
         for col in texts:
-            yield pa.array([np.frombuffer(x, "<i4") for run in _by_size([_utf8(x) for x in col]) for x in c.encode_many(run)], pa.list_(pa.int32()))
+            yield pa.array([np.frombuffer(x, "<i4") for x in c.encode_many(map(_utf8, col))], pa.list_(pa.int32()))
+        c.forget()
+        give_back()
 
     return df.withColumn(ids, of(F.col(text).cast("binary")))
 
@@ -307,12 +372,13 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for b in batches:
             n, of_ids, of_text = [], [], []
-            for run in _by_size([_utf8(x) for x in b.column("text")]):
-                for ids in c.encode_many(run):
-                    n.append(len(ids) // 4)
-                    of_ids.append(hashlib.sha256(ids).hexdigest())
-                    of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            for ids in c.encode_many(map(_utf8, b.column("text"))):
+                n.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
+        give_back()
 
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return small.mapInArrow(digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +22,13 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else that of ``setCheckpointDir``, else, in local mode only, one of our own."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if (set_dir := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        return set_dir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="pointloom-")
@@ -49,6 +56,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def close(self) -> None:
+        """Deletes all tables of this scratch; for callers that have written what they return."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
@@ -58,6 +70,16 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def give_back() -> None:
+    """Hands a Python worker's free memory back to the system at the end of its task; workers outlive stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def with_row_number(df: DataFrame, keys: list[Column], name: str, scratch: Scratch) -> DataFrame:
     """Adds ``name``: the row's rank from 0 in the order of ``keys``, without a single-task sort.
 
