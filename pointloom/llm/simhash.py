@@ -92,9 +92,24 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return rows.mapInArrow(batches, "uid bigint, doc_id bigint, fp bigint")
 
 
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash of ``words`` times 64 bits of a set of hashes; words after the first count the bits of remixed hashes."""
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(hashes) else 0):
+        h = hashes
+        if w:
+            h = hashes + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64))
+            for s, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> np.uint64(s))) * np.uint64(m)
+            h ^= h >> np.uint64(31)
+        ones = _bit_counts(h)
+        out[w] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
 def _quarters(fp: np.ndarray) -> np.ndarray:
-    """Population counts of the four 16-bit parts."""
-    return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int8)
+    """Population counts of the four quarters of each fingerprint (rows of 64-bit words)."""
+    return np.bitwise_count(fp.view(np.uint16).reshape(len(fp), fp.shape[1], 4)).sum(1, dtype=np.int16)
 
 
 class _Forest:
@@ -128,75 +143,101 @@ class _Forest:
                 lab[:] = up
 
 
-def link_tiles(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``left``, or between ``left`` and ``right``: pairs of fingerprints (uint64).
+def link_tiles(
+    left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, left_n: np.ndarray | None = None, right_n: np.ndarray | None = None, least: tuple[int, int] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within ``left``, or between ``left`` and ``right``: pairs of row numbers, those of ``right`` after those of ``left``.
 
-    Both are cut into pieces of neighbours. Two fingerprints differ in at least as many bits as the population counts of
-    their 16-bit parts differ in sum, so two pieces whose ranges of counts lie further apart than the radius are skipped; all pairs of
-    the others are compared.
+    Both hold a fingerprint a row (uint64 words) and are cut into pieces of neighbours. Two fingerprints differ in at least as many bits as the population counts of
+    their quarters differ in sum, so two pieces whose ranges of counts lie further apart than the radius are skipped; all pairs of
+    the others are compared. With ``least`` (p, q), pieces are skipped, too, if no two set sizes (``left_n``, ``right_n``) have a ratio of p / q.
     """
-    rows = left if right is None else np.concatenate((left, right))
-    forest = _Forest(len(rows))
+    n = len(left) + (0 if right is None else len(right))
+    forest = _Forest(n)
 
-    def pieces(fp: np.ndarray, base: int) -> tuple[list, np.ndarray, np.ndarray]:
+    def pieces(fp: np.ndarray, size: np.ndarray | None, base: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         q = _quarters(fp)
         cuts = range(0, len(fp), PIECE)
-        return [(base + a, fp[a : a + PIECE]) for a in cuts], np.array([q[a : a + PIECE].min(0) for a in cuts], np.int64), np.array([q[a : a + PIECE].max(0) for a in cuts], np.int64)
+        cols = [np.ascontiguousarray(fp[:, w]) for w in range(fp.shape[1])]
+        ends = [(int(size[a : a + PIECE].min()), int(size[a : a + PIECE].max())) if size is not None else (0, 0) for a in cuts]
+        return [(base + a, [c[a : a + PIECE] for c in cols]) for a in cuts], np.array([q[a : a + PIECE].min(0) for a in cuts], np.int64), np.array([q[a : a + PIECE].max(0) for a in cuts], np.int64), np.array(ends, np.int64).reshape(-1, 2)
 
-    a_pieces, a_low, a_high = pieces(left, 0)
-    b_pieces, b_low, b_high = (a_pieces, a_low, a_high) if right is None else pieces(right, len(left))
+    a_pieces, a_low, a_high, a_size = pieces(left, left_n, 0)
+    b_pieces, b_low, b_high, b_size = (a_pieces, a_low, a_high, a_size) if right is None else pieces(right, right_n, len(left))
     for k, (at, x) in enumerate(a_pieces):
         apart = np.maximum(np.maximum(b_low - a_high[k], a_low[k] - b_high), 0).sum(1)
-        for m in np.flatnonzero(apart <= radius):
+        near = apart <= radius
+        if least is not None:
+            p, q = least
+            near &= (q * b_size[:, 1] >= p * a_size[k, 0]) & (q * a_size[k, 1] >= p * b_size[:, 0])
+        for m in np.flatnonzero(near):
             if right is None and m < k:
                 continue
             to, y = b_pieces[m]
-            i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
+            bits = np.bitwise_count(x[0][:, None] ^ y[0][None, :])
+            for u, v in zip(x[1:], y[1:], strict=True):
+                bits = bits + np.bitwise_count(u[:, None] ^ v[None, :])  # up to 3 words fit a byte
+            i, j = np.nonzero(bits <= radius)
             if right is None and m == k:
                 keep = i < j
                 i, j = i[keep], j[keep]
             if len(i):
                 forest.link(i + at, j + to)
     forest.flush()
-    moved = np.flatnonzero(forest.label != np.arange(len(rows)))
-    return rows[moved], rows[forest.label[moved]]
+    moved = np.flatnonzero(forest.label != np.arange(n))
+    return moved, forest.label[moved]
 
 
-def fingerprint_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between the fingerprints of ``distinct`` (fp bigint, no repeats) that differ in at most ``radius`` bits.
+def fingerprint_links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, words: int = 1, least: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b): links between the nodes of ``nodes`` (node bigint, f0.. ``words`` bigints, and n, a set's size, with ``least``) that differ in at most ``radius`` bits.
 
-    The links span the components: of those inside one pair of bands a spanning forest is kept. Fingerprints are put in the order of their population counts and
+    The links span the components: of those inside one pair of bands a spanning forest is kept. Nodes are put in the order of their sets' sizes, if given, and of their population counts, and
     packed into tiles of TILE; bands of whole tiles form a triangle of cells, a task each, which holds two bands at most (MOST_BAND rows each).
-    Cells whose ranges of population counts lie further apart than the radius are left out before anything is sent.
+    Cells whose ranges of population counts or sizes lie further apart than the radius or ``least`` allow are left out before anything is sent.
     """
-    spark = distinct.sparkSession
-    part = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
+    spark = nodes.sparkSession
+    names = [f"f{w}" for w in range(words)]
+    part = lambda k: sum((F.bit_count(F.shiftrightunsigned(f, 16 * k).bitwiseAND(F.lit(0xFFFF))) for f in names), F.lit(0))
     pops = [part(k) for k in range(4)]
-    ranked = with_row_number(distinct.select("fp"), [*pops, F.col("fp")], "rn", scratch)
-    n = ranked.count()
-    rows = min(max(LEAST_BAND, -(-n // BANDS)), MOST_BAND)
+    size = F.col("n").cast("bigint") if least else F.lit(0).cast("bigint")
+    # sizes by classes within which all pairs have the least ratio
+    by_size = [F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(least[1] / least[0])))] if least else []
+    ranked = with_row_number(nodes.select("node", *names, size.alias("n")), [*by_size, *pops, F.col("node")], "rn", scratch)
+    total = ranked.count()
+    rows = min(max(LEAST_BAND, -(-total // BANDS)), MOST_BAND)
     rows = -(-rows // TILE) * TILE
     div = lambda k: F.call_function("div", F.col("rn"), F.lit(k).cast("bigint"))
-    tile = ranked.select("fp", "rn", div(TILE).alias("tile"), div(rows).alias("band"))
-    tiles = scratch.table(tile.groupBy("band", "tile").agg(F.sort_array(F.collect_list(F.struct("rn", "fp"))).alias("x")).select("band", "tile", F.col("x.fp").alias("fps")))
+    tile = ranked.select("node", *names, "n", "rn", div(TILE).alias("tile"), div(rows).alias("band"))
+    fields = ["node", *names, "n"]
+    packed = tile.groupBy("band", "tile").agg(F.sort_array(F.collect_list(F.struct("rn", *fields))).alias("x"))
+    tiles = scratch.table(packed.select("band", "tile", *[F.col(f"x.{c}").alias(c) for c in fields]))
     # a row for each band: n / MOST_BAND at most, or BANDS
-    ranges = tile.groupBy("band").agg(*[f(p).alias(f"{s}{k}") for k, p in enumerate(pops) for f, s in ((F.min, "l"), (F.max, "h"))]).orderBy("band").collect()
-    low = np.array([[r[f"l{k}"] for k in range(4)] for r in ranges], np.int64).reshape(-1, 4)
-    high = np.array([[r[f"h{k}"] for k in range(4)] for r in ranges], np.int64).reshape(-1, 4)
+    bounds = [f(p).alias(f"{s}{k}") for k, p in enumerate([*pops, F.col("n")]) for f, s in ((F.min, "l"), (F.max, "h"))]
+    ranges = tile.groupBy("band").agg(*bounds).orderBy("band").collect()
+    low = np.array([[r[f"l{k}"] for k in range(5)] for r in ranges], np.int64).reshape(-1, 5)
+    high = np.array([[r[f"h{k}"] for k in range(5)] for r in ranges], np.int64).reshape(-1, 5)
     cells = []
     for g in range(len(ranges)):
-        apart = np.maximum(np.maximum(low - high[g], low[g] - high), 0).sum(1)
-        cells += [(f"{g}-{h}", int(s)) for h in np.flatnonzero(apart <= radius).tolist() if h >= g for s in {g, h}]
+        near = np.maximum(np.maximum(low[:, :4] - high[g, :4], low[g, :4] - high[:, :4]), 0).sum(1) <= radius
+        if least:
+            near &= (least[1] * high[:, 4] >= least[0] * low[g, 4]) & (least[1] * high[g, 4] >= least[0] * low[:, 4])
+        cells += [(f"{g}-{h}", int(s)) for h in np.flatnonzero(near).tolist() if h >= g for s in {g, h}]
     wanted = spark.createDataFrame(cells, "cell string, band bigint")
 
     def compare(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
         band, order = table.column("band").to_numpy(), np.argsort(table.column("tile").to_numpy(), kind="stable")
-        lists = table.column("fps").combine_chunks()
-        take = lambda b: np.concatenate([lists[int(k)].values.to_numpy(zero_copy_only=False) for k in order if band[k] == b]).view(np.uint64)
+        lists = {c: table.column(c).combine_chunks() for c in fields}
+        take = lambda c, b: np.concatenate([lists[c][int(k)].values.to_numpy(zero_copy_only=False) for k in order if band[k] == b])
+        prints = lambda b: np.stack([take(f, b).view(np.uint64) for f in names], 1)
         g, h = map(int, cell.split("-"))
-        a, b = link_tiles(take(g), None if g == h else take(h), radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        if g == h:
+            a, b = link_tiles(prints(g), None, radius, take("n", g), None, least)
+            node = take("node", g)
+        else:
+            a, b = link_tiles(prints(g), prints(h), radius, take("n", g), take("n", h), least)
+            node = np.concatenate((take("node", g), take("node", h)))
+        return pa.table({"a": node[a], "b": node[b]})
 
     return tiles.join(wanted, "band").groupBy("cell").applyInArrow(compare, "a bigint, b bigint")
 
@@ -211,7 +252,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 4, see
     scratch = Scratch(docs.sparkSession)
     prints = scratch.table(fingerprints(docs, shingle, seed))
     nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = scratch.table(fingerprint_links(nodes, scratch, radius))
+    links = scratch.table(fingerprint_links(nodes.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), scratch, radius))
     linked = connected_components(links, scratch).withColumnRenamed("node", "fp")
     own = scratch.table(linked.join(nodes, "fp").select("fp", "component", "least"))
     least = scratch.table(own.groupBy("component").agg(F.min("least").alias("component_id")))
