@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch, with_marks, with_uid
+from pointloom.llm.common import Scratch, give_back, with_marks, with_uid
 
 #: Length of the strings; of an anchor; the anchors that a window chooses from.
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
-#: Period of the difference cover and its residues: every difference below PERIOD is one of two residues', modulo PERIOD.
+#: Period of the difference cover and its residues: any two residues have a shift, below PERIOD, that takes both into the cover.
 PERIOD = 32
 COVER = (0, 1, 2, 3, 7, 11, 19)
-#: Contexts of a suffix bucket on average, and of one anchor in a bucket at most.
-BUCKET, HOT = 8_000, 2_000
+#: Contexts of a suffix bucket on average; an anchor with more than HOT different ones is refined into buckets of its own.
+BUCKET, HOT = 4_000, 1_000
 #: Bytes whose anchors are looked for at once.
 BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,24 +82,30 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(uid, at, first, last, h, g): h is a hash of the anchor, g of all bytes of its windows and where in them the anchor is."""
+    """(uid, at, first, last, upto, k, h, g0, g1): h is a hash of the anchor, g0 and g1 are a 128-bit digest of all bytes of its windows and of where in them the anchor is.
+
+    Neighbours in a text whose digests are equal (periodic text) are one row: ``k`` anchors, whose windows reach to ``upto``.
+    """
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash64 = xxhash.xxh3_64_intdigest
+        hash64, hash128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for b in it:
-            uid, parts, h, g = [], [], [], []
+            cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
             for u, x in zip(b.column("uid").to_pylist(), b.column("text"), strict=True):
                 raw = x.as_py() or b""
-                found = anchors(raw)
-                uid.append(np.full(len(found[0]), u, np.int64))
-                parts.append(found)
-                for at, first, last in zip(*(y.tolist() for y in found), strict=True):
-                    h.append(hash64(raw[at : at + GRAM]))
-                    g.append(hash64(raw[first : last + LENGTH], at - first))
-            cols = [np.concatenate(uid)] + [np.concatenate([p[k] for p in parts]) for k in range(3)] if uid else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in cols), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(g, np.uint64).view(np.int64))], names)
-
-    names = ["uid", "at", "first", "last", "h", "g"]
+                at, first, last = anchors(raw)
+                if not len(at):
+                    continue
+                h = np.fromiter((hash64(raw[a : a + GRAM]) for a in at.tolist()), np.uint64, len(at)).view(np.int64)
+                g = np.frombuffer(b"".join([hash128(raw[f : e + LENGTH], a - f) for a, f, e in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]).any(1))))
+                ends = np.concatenate((new[1:], [len(at)])) - 1
+                for col, v in zip(cols, (np.full(len(new), u, np.int64), at[new], first[new], last[new], last[ends], ends - new + 1, h[new], g[new, 0], g[new, 1]), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names)
+        give_back()
+
+    names = ["uid", "at", "first", "last", "upto", "k", "h", "g0", "g1"]
     return docs.select("uid", "text").mapInArrow(rows, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -114,151 +121,206 @@ def _ranks(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _shifts() -> np.ndarray:
+    """For two residues, the least shift that takes both into the cover."""
+    out = np.zeros((PERIOD, PERIOD), np.int64)
+    for i in range(PERIOD):
+        for j in range(PERIOD):
+            out[i, j] = next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER)
+    return out
+
+
 class SuffixBucket:
-    """Finds which windows of some contexts occur again in the bucket.
+    """Sorts the suffixes of one bucket that start at given windows, and tells which windows are equal.
 
-    Contexts are laid out with their anchors at multiples of PERIOD, so windows that may be equal (same anchor, same place in it) have
-    the same residue. Suffixes at the residues of COVER are ranked once, by their first 32 bytes and three doublings, over 256 bytes; a window
-    is then sorted by the few bytes up to the next cover position and that position's rank, so long ties cost no byte comparisons.
-    Neighbours in this order are compared over LENGTH bytes.
+    Suffixes at the positions of the difference cover (7 of 32) are ranked first: by 32 bytes, then by three doublings, over 256 bytes. A window
+    is sorted by its first 32 bytes. Ties are split by pivots: a window and its group's pivot, whatever their residues, are both at cover
+    positions after the same shift of less than 32 bytes, which are equal, so the two ranks there order them. Long ties cost no byte comparisons and no memory.
     """
 
-    def __init__(self, texts: list[bytes], before: np.ndarray):
-        """``before``: bytes of each text that precede its anchor."""
+    _SHIFT = _shifts()
+    _COLUMN = np.array([COVER.index(r) if r in COVER else -1 for r in range(PERIOD)])
+
+    def __init__(self, texts: list[bytes]):
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        lead = -(-before // PERIOD) * PERIOD
-        room = lead - before + size + LENGTH + 8 * PERIOD
-        room = -(-room // PERIOD) * PERIOD
-        ends = np.cumsum(room)
-        self.start = ends - room + lead - before
-        self.buffer = np.zeros(int(ends[-1]) + 16 * PERIOD, np.uint8)
-        for a, t in zip(self.start.tolist(), texts, strict=True):
-            self.buffer[a : a + len(t)] = np.frombuffer(t, np.uint8)
+        self.start = np.cumsum(size) - size
+        room = -(-(int(size.sum()) + LENGTH + 10 * PERIOD) // PERIOD) * PERIOD
+        self.buffer = np.zeros(room, np.uint8)
+        self.buffer[: int(size.sum())] = np.frombuffer(b"".join(texts), np.uint8)
         self._rank_cover()
 
-    def _words(self, at: np.ndarray, n: int) -> list[np.ndarray]:
-        """The ``n`` 8-byte words from each position on, comparable as numbers."""
+    def _words(self, at: np.ndarray) -> list[np.ndarray]:
+        """The first 32 bytes from each position on as 8-byte words, comparable as numbers."""
         view = np.lib.stride_tricks.sliding_window_view(self.buffer, 8)
-        return [np.ascontiguousarray(view[at + 8 * k]).view(">u8").ravel().astype(np.uint64) for k in range(n)]
+        return [np.ascontiguousarray(view[at + 8 * k]).view(">u8").ravel().astype(np.uint64) for k in range(PERIOD // 8)]
 
     def _rank_cover(self) -> None:
-        blocks = len(self.buffer) // PERIOD - 8
+        blocks = len(self.buffer) // PERIOD - 1
         at = (np.arange(blocks)[:, None] * PERIOD + np.array(COVER)).ravel()
-        rank = _ranks(self._words(at, PERIOD // 8))
+        rank = _ranks(self._words(at))
         step = len(COVER)
         for _ in range(3):
             later = np.concatenate((rank[step:], np.zeros(min(step, len(rank)), np.int64)))
             rank = _ranks([rank, later])
             step *= 2
         self.rank = rank
-        gap = [min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)]
-        self.gap = np.array(gap)
-        self.column = np.array([COVER.index((r + gap[r]) % PERIOD) for r in range(PERIOD)])
-
-    def classes(self, context: np.ndarray, offset: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order, class): windows (``offset`` in ``context``) in suffix order within ``group``, and equal numbers for equal windows."""
-        at = self.start[context] + offset
-        gap = self.gap[at % PERIOD]
-        sample = at + gap
-        rank = self.rank[sample // PERIOD * len(COVER) + self.column[at % PERIOD]]
-        head = self._words(at, 2 if self.gap.max() > 8 else 1)
-        # only the bytes before the sample count
-        for k, w in enumerate(head):
-            keep = np.clip(gap - 8 * k, 0, 8)
-            shift = (8 * (8 - keep)).astype(np.uint64)
-            head[k] = np.where(keep > 0, (w >> np.minimum(shift, np.uint64(63))), np.uint64(0))
-        order = np.lexsort((rank, *head[::-1], group))
+
+    def _rank_at(self, at: np.ndarray) -> np.ndarray:
+        return self.rank[at // PERIOD * len(COVER) + self._COLUMN[at % PERIOD]]
+
+    def sort(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, group): the windows at ``at`` in suffix order, and numbers that are equal only for windows known to share 256 bytes."""
+        words = self._words(at)
+        order = np.lexsort(words[::-1])
+        new = np.zeros(len(at), bool)
+        for w in words:
+            s = w[order]
+            new[1:] |= s[1:] != s[:-1]
+        group = np.cumsum(new)
+        size = np.bincount(group, minlength=1)
+        open_ = np.flatnonzero(size[group] > 1)
+        while len(open_):
+            g = group[open_]
+            first = np.concatenate(([True], g[1:] != g[:-1]))
+            begin = np.flatnonzero(first)
+            length = np.diff(np.append(begin, len(g)))
+            pivot = at[order[open_[begin + length // 2]]][np.cumsum(first) - 1]
+            x = at[order[open_]]
+            shift = self._SHIFT[x % PERIOD, pivot % PERIOD]
+            side = np.sign(self._rank_at(x + shift) - self._rank_at(pivot + shift))
+            part = np.cumsum(first) * 3 + side
+            by = np.argsort(part, kind="stable")
+            order[open_] = order[open_][by]
+            part = part[by]
+            settled = side[by] == 0
+            # numbers of all places anew, so that parts lie between their neighbours
+            cut = np.zeros(len(at), bool)
+            cut[1:] = group[1:] != group[:-1]
+            cut[open_[1:]] |= part[1:] != part[:-1]
+            group = np.cumsum(cut)
+            size = np.bincount(group)
+            open_ = open_[~settled & (size[group[open_]] > 1)]
+        return order, group
+
+    def classes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, class): the windows at ``at`` in suffix order, and numbers that are equal for windows equal over LENGTH bytes."""
+        order, group = self.sort(at)
         same = np.zeros(len(order), bool)
-        x, y = order[1:], order[:-1]
-        near = np.flatnonzero(group[x] == group[y])
+        same[1:] = group[1:] == group[:-1]
+        words = self._words(at)
+        near = ~same
+        near[:1] = False
+        for w in words:
+            s = w[order]
+            near[1:] &= s[1:] == s[:-1]
+        near = np.flatnonzero(near)
         view = np.lib.stride_tricks.sliding_window_view(self.buffer, LENGTH)
         for a in range(0, len(near), 1 << 15):
             part = near[a : a + (1 << 15)]
-            same[part + 1] = (view[at[x[part]]] == view[at[y[part]]]).all(1)
+            same[part] = (view[at[order[part]]] == view[at[order[part - 1]]]).all(1)
         return order, np.cumsum(~same)
 
 
 def _runs(context: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first, last) of runs of neighbouring windows."""
-    order = np.lexsort((offset, context))
-    c, o = context[order], offset[order]
-    cut = np.flatnonzero((np.diff(c) != 0) | (np.diff(o) != 1)) + 1
+    """(context, first, last) of runs of neighbouring windows; both arrays are in order."""
+    cut = np.flatnonzero((np.diff(context) != 0) | (np.diff(offset) != 1)) + 1
     a = np.concatenate(([0], cut)).astype(np.int64)
-    b = np.concatenate((cut, [len(c)])).astype(np.int64) - 1
-    return c[a], o[a], o[b]
+    b = np.concatenate((cut, [len(context)])).astype(np.int64) - 1
+    return context[a], offset[a], offset[b]
 
 
 def _search_bucket(table: pa.Table) -> pa.Table:
-    """Marks of one bucket: (uid, first, last, 0, 0) for windows that occur twice in it, (uid, first, last, key, 1) for those to be counted across buckets."""
-    col = {c: table.column(c).to_numpy() for c in ("uid", "at", "first", "last", "h", "n", "parts")}
-    texts = table.column("context").to_pylist()
-    bucket = SuffixBucket(texts, col["at"] - col["first"])
+    """(uid, first, last): runs of windows of one bucket that occur twice in it; those of contexts that are known to occur again (n > 1) are left out."""
+    col = {c: table.column(c).to_numpy() for c in ("uid", "first", "last", "n")}
+    bucket = SuffixBucket(table.column("context").to_pylist())
     count = col["last"] - col["first"] + 1
-    context = np.repeat(np.arange(len(texts)), count)
+    context = np.repeat(np.arange(len(count)), count)
     offset = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
-    delta = (col["at"] - col["first"])[context] - offset
-    group = _ranks([col["h"][context], delta])
-    order, cls = bucket.classes(context, offset, group)
-    size = np.bincount(cls, minlength=int(cls[-1]) + 1 if len(cls) else 0)
-    again = np.zeros(len(order), bool)
-    again[order] = size[cls] > 1
-    single = col["n"][context] == 1
-    out = []
-    mark = again & single
-    if mark.any():
-        c, a, b = _runs(context[mark], offset[mark])
-        out.append((col["uid"][c], col["first"][c] + a, col["first"][c] + b, np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)))
-    split = col["parts"][context[order]] > 1
-    if split.any():
-        # a row for each different window of an anchor that fills several buckets
-        lead = np.flatnonzero(split & np.concatenate(([True], np.diff(cls) != 0)))
-        w = order[lead]
-        view = np.lib.stride_tricks.sliding_window_view(bucket.buffer, LENGTH)
-        digest = [hashlib.blake2b(view[a].tobytes(), digest_size=16).digest() for a in (bucket.start[context[w]] + offset[w]).tolist()]
-        keys = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-        at = col["first"][context[w]] + offset[w]
-        # 1: still unmarked and one document's own; 2: only there to be met
-        kind = np.where(single[w] & ~again[w], 1, 2)
-        out.append((col["uid"][context[w]], at, at, keys[:, 0], keys[:, 1], kind.astype(np.int64)))
-    cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(6)]
-    return pa.table(dict(zip(("uid", "first", "last", "k0", "k1", "kind"), cols, strict=True)))
+    order, cls = bucket.classes(bucket.start[context] + offset)
+    size = np.bincount(cls)
+    mark = np.zeros(len(order), bool)
+    mark[order] = size[cls] > 1
+    mark &= col["n"][context] == 1
+    if not mark.any():
+        return pa.table({c: pa.array([], pa.int64()) for c in ("uid", "first", "last")})
+    c, a, b = _runs(context[mark], offset[mark])
+    return pa.table({"uid": col["uid"][c], "first": col["first"][c] + a, "last": col["first"][c] + b})
+
+
+def _refined(hot: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows, marks) for the contexts of hot anchors (h, n, uid, at, first, last, context).
+
+    Windows of an anchor are told apart by the bytes between their start and the anchor, so a bucket of starts [a, b] is halved: those who start further
+    off share more bytes before the anchor, the others more bytes behind it. A half's bucket is keyed by all the bytes that its windows share.
+    Parts of contexts that are equal are one row (marked, as they are repeated). A bucket of HOT rows at most goes to ``rows``, a lone row is dropped, and the others are
+    halved again; after 8 halvings a bucket has one start and its windows are equal. Each context is in one bucket per start at most, and where nothing is repeated mostly in one bucket in all.
+    """
+    rows, marks = [], []
+    level = hot.select(F.lit(0).alias("a"), F.lit(WINDOW - 1).alias("b"), "n", "uid", "at", "first", "last", "context")
+    while True:
+        mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b")))
+        t = level.select("n", "uid", "at", "first", "last", "context", F.explode(halves).alias("_i")).where("_i.a <= _i.b")
+        # the windows that start between b and a bytes before the anchor
+        first, last = F.greatest("first", F.col("at") - F.col("_i.b")), F.least("last", F.col("at") - F.col("_i.a"))
+        t = t.select("n", "uid", "at", F.col("first").alias("_f"), first.alias("first"), last.alias("last"), "context", F.col("_i.a").alias("a"), F.col("_i.b").alias("b")).where("first <= last")
+        core = F.substring(F.col("context"), (F.col("at") - F.col("a") - F.col("_f") + 1).cast("int"), (F.col("a") + LENGTH - F.col("b")).cast("int"))
+        part = F.substring(F.col("context"), (F.col("first") - F.col("_f") + 1).cast("int"), (F.col("last") - F.col("first") + LENGTH).cast("int"))
+        t = t.select("n", "uid", "at", "first", "last", "a", "b", F.xxhash64("a", "b", core).alias("key"), part.alias("context"))
+        t = scratch.table(t.withColumn("same", F.concat(F.md5("context"), F.hex(F.col("at") - F.col("first")))))
+        one = F.min(F.struct("uid", "at", "first", "last")).alias("r")
+        # sums are made before the shuffle, so copies of a part cost one row a task
+        folded = scratch.table(t.groupBy("key", "same").agg(F.sum("n").alias("m"), one))
+        again = t.where("n = 1").join(folded.where("m > 1").select("key", "same"), ["key", "same"])
+        marks.append(scratch.table(again.select("uid", "first", "last")))
+        sizes = folded.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
+        kept = folded.join(scratch.table(sizes), "key").select("key", "same", "d", "m", "r.uid", "r.at", "r.first", "r.last")
+        kept = scratch.table(kept.join(t.select("key", "same", "uid", "first", "last", "a", "b", "context"), ["key", "same", "uid", "first", "last"]))
+        rows.append(kept.where(F.col("d") <= HOT).select("key", F.col("m").alias("n"), "uid", "first", "last", "context"))
+        level = kept.where(F.col("d") > HOT).select("a", "b", F.col("m").alias("n"), "uid", "at", "first", "last", "context")
+        scratch.drop(t)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, marks)
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(uid, first, last): runs of windows that occur more than once, for ``docs`` (uid bigint, text binary; see ``with_uid``).
 
-    1. Each window belongs to one anchor (a content-defined sample, one in about 60 bytes), equal windows to anchors of equal hash h.
-    2. Anchors whose windows' whole bytes (g) occur again have repeated windows only: no text is moved for them.
-    3. Where one h has several g, one context (under 350 bytes) for each g goes to the suffix bucket of h and is sorted there. Anchors with more than
-       HOT contexts are dealt over several buckets; their different windows are then counted by a 128-bit digest.
+    1. Each window belongs to one anchor (a content-defined sample, one in about 60 bytes), equal windows to anchors of equal hash h. Windows of an anchor that
+       occurs once can't be repeated and are not sorted.
+    2. Contexts (an anchor's windows with all their bytes) that are equal by a 128-bit digest are one entry of the suffix sort, with a multiplicity; those of two or more are repeated whole.
+    3. Where one h has several contexts, they go to the suffix bucket of h and are sorted there; anchors with more than HOT are first refined (``_refined``), so no bucket grows with the corpus.
     """
     a = scratch.table(anchor_rows(docs))
-    many = scratch.table(a.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+    many = scratch.table(a.groupBy("h").agg(F.sum("k").alias("m")).where("m > 1").select("h"))
     twice = scratch.table(a.join(many, "h"))
     scratch.drop(a)
-    hg = scratch.table(twice.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "first", "last")).alias("r")))
-    whole = twice.join(hg.where("n > 1").select("h", "g"), ["h", "g"]).select("uid", "first", "last")
+    hg = scratch.table(twice.groupBy("h", "g0", "g1").agg(F.sum("k").alias("n"), F.min(F.struct("uid", "at", "first", "last")).alias("r")))
+    whole = twice.join(hg.where("n > 1").select("h", "g0", "g1"), ["h", "g0", "g1"]).select("uid", "first", F.col("upto").alias("last"))
     kinds = scratch.table(hg.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"))
-    asked = scratch.table(hg.join(kinds, "h").select("h", "g", "n", "d", "r.uid", "r.at", "r.first", "r.last"))
-    total = asked.count()
+    asked = scratch.table(hg.join(kinds, "h").select("h", "n", "d", "r.uid", "r.at", "r.first", "r.last"))
+    total, hot = asked.agg(F.count("*"), F.count_if(F.col("d") > HOT)).first()
     texts = with_marks(docs, asked.select("uid", F.lit(1).alias("mark")), scratch).drop("mark")
     cut = F.substring(F.col("text"), (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + LENGTH).cast("int"))
-    contexts = texts.join(asked, "uid").withColumn("context", cut).drop("text")
+    fields = ["n", "uid", "first", "last", "context"]
+    contexts = texts.join(asked, "uid").withColumn("context", cut).select("h", "d", "at", *fields)
+    dealt, marks = contexts.where(F.col("d") <= HOT).select(F.col("h").alias("key"), *fields), None
+    if hot:
+        refined, marks = _refined(scratch.table(contexts.where(F.col("d") > HOT)), scratch)
+        dealt = dealt.unionByName(refined.select("key", *fields))
+        total += refined.count()
     buckets = max(1, -(-total // BUCKET))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("d") / HOT)).cast("bigint")
-    part = F.when(F.col("parts") > 1, F.pmod(F.col("g"), F.col("parts"))).otherwise(F.lit(0))
-    dealt = contexts.withColumn("parts", parts).withColumn("bucket", F.pmod(F.xxhash64("h", part), F.lit(buckets)))
-    found = scratch.table(dealt.groupBy("bucket").applyInArrow(_search_bucket, "uid bigint, first bigint, last bigint, k0 bigint, k1 bigint, kind bigint"))
-    across = found.where("kind > 0")
-    met = scratch.table(across.groupBy("k0", "k1").agg(F.count("*").alias("c"), F.min("uid").alias("u")).where("c > 1").select("k0", "k1"))
-    crossed = across.where("kind = 1").join(met, ["k0", "k1"]).select("uid", "first", "last")
-    return scratch.table(whole.unionByName(found.where("kind = 0").select("uid", "first", "last")).unionByName(crossed))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    found = dealt.select("bucket", *fields).groupBy("bucket").applyInArrow(_search_bucket, "uid bigint, first bigint, last bigint")
+    out = whole.unionByName(found)
+    return scratch.table(out if marks is None else out.unionByName(marks))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row: bytes covered by a LENGTH-byte string that also starts elsewhere go.
 
     Strings are told apart within the whole table, same document included, and judged on the input; overlaps count, matches never cross documents.
+    Rows are numbered by ``with_uid``, whatever the input is and however it is split.
     Null texts count as empty and lose nothing, as do texts below LENGTH bytes; repeated rows lose all. A null doc_id is kept. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
