@@ -1,4 +1,4 @@
-"""Exact signs of orientation and in-sphere determinants, and the Delaunay cells of a few thousand points."""
+"""Exact signs of orientation and in-sphere determinants, and the Delaunay cells of a tile's points."""
 
 from __future__ import annotations
 
@@ -62,49 +62,155 @@ def _in_sphere_exact(t: np.ndarray, p: np.ndarray) -> bool:
     return False
 
 
+def _sign(a: tuple, b: tuple, c: tuple, d: tuple) -> int:
+    """The sign of det(a - d, b - d, c - d), exact where rounding could matter."""
+    ux, uy, uz = a[0] - d[0], a[1] - d[1], a[2] - d[2]
+    vx, vy, vz = b[0] - d[0], b[1] - d[1], b[2] - d[2]
+    wx, wy, wz = c[0] - d[0], c[1] - d[1], c[2] - d[2]
+    det = ux * (vy * wz - vz * wy) + uy * (vz * wx - vx * wz) + uz * (vx * wy - vy * wx)
+    bound = 1.6e-13 * max(abs(ux), abs(uy), abs(uz)) * max(abs(vx), abs(vy), abs(vz)) * max(abs(wx), abs(wy), abs(wz))
+    if det > bound:
+        return 1
+    if det < -bound:
+        return -1
+    rows = [[Fraction(v) for v in q] for q in (a, b, c, d)]
+    x = _det3(*([p - q for p, q in zip(r, rows[3], strict=True)] for r in rows[:3]))
+    return (x > 0) - (x < 0)
+
+
+def _within(a: tuple, b: tuple, c: tuple, d: tuple, p: tuple) -> bool:
+    """``in_sphere`` of one cell."""
+    x, y, z = p
+    ax, ay, az, bx, by, bz = a[0] - x, a[1] - y, a[2] - z, b[0] - x, b[1] - y, b[2] - z
+    cx, cy, cz, dx, dy, dz = c[0] - x, c[1] - y, c[2] - z, d[0] - x, d[1] - y, d[2] - z
+    cdx, cdy, cdz = cy * dz - cz * dy, cz * dx - cx * dz, cx * dy - cy * dx
+    abx, aby, abz = ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx
+    det = (ax * ax + ay * ay + az * az) * -(bx * cdx + by * cdy + bz * cdz) + (bx * bx + by * by + bz * bz) * (ax * cdx + ay * cdy + az * cdz)
+    det += (cx * cx + cy * cy + cz * cz) * -(dx * abx + dy * aby + dz * abz) + (dx * dx + dy * dy + dz * dz) * (cx * abx + cy * aby + cz * abz)
+    size = max(abs(ax), abs(ay), abs(az), abs(bx), abs(by), abs(bz), abs(cx), abs(cy), abs(cz), abs(dx), abs(dy), abs(dz))
+    if abs(det) > 1e-11 * size**5:
+        return det > 0
+    return _in_sphere_exact(np.array([a, b, c, d]), np.array(p))
+
+
+def _near_order(points: np.ndarray) -> np.ndarray:
+    """Points along a curve that visits neighbours after each other."""
+    span = np.ptp(points, axis=0)
+    q = ((points - points.min(0)) / np.where(span > 0, span, 1) * 1023).astype(np.int64)
+    code = np.zeros(len(points), np.int64)
+    for bit in range(10):
+        for k in range(3):
+            code |= (q[:, k] >> bit & 1) << (3 * bit + k)
+    return np.argsort(code, kind="stable")
+
+
 def delaunay(points: np.ndarray) -> np.ndarray:
-    """Cells (m, 4) of the Delaunay triangulation of different points (n, 3), positively oriented, with GHOST in those outside a facet of the hull; none if all points are in one plane."""
-    n = len(points)
+    """Cells (m, 4) of the Delaunay triangulation of different points (n, 3), positively oriented, with GHOST in those outside a facet of the hull; none if all points are in one plane.
+
+    Points are inserted along a curve. A walk from the last cell finds the one that a point lies in; the cells whose spheres hold the point are found from there
+    over their neighbours and replaced, so an insertion looks at some fifty cells however many there are.
+    """
     base = _independent(points)
     if base is None:
         return np.zeros((0, 4), np.int64)
     if orientation(points[base][None])[0] < 0:
         base = [base[1], base[0], *base[2:]]
-    first = [base]
+    pts = [tuple(row) for row in points.tolist()]
+    verts: list[list[int]] = [list(base)]
     for i in range(4):
         g = list(base)
         g[i] = GHOST
         j, k = [x for x in range(4) if x != i][:2]
         g[j], g[k] = g[k], g[j]
-        first.append(g)
-    cells = np.array(first, np.int64)
-    ext = np.concatenate((points, np.zeros((1, 3))))
-    for p in range(n):
-        if p in base:
-            continue
-        x = ext[p]
-        ghost = (cells == GHOST).any(1)
-        hit = np.zeros(len(cells), bool)
-        finite = np.flatnonzero(~ghost)
-        hit[finite] = in_sphere(ext[cells[finite]], x)
-        outer = np.flatnonzero(ghost)
-        t = ext[cells[outer]]
-        t[cells[outer] == GHOST] = x
-        side = orientation(t)
-        hit[outer] = side > 0
-        for k in outer[side == 0]:
+        verts.append(g)
+    near: list[list[int]] = [[1, 2, 3, 4]]
+    for i in range(4):
+        near.append([0 if v == GHOST else 1 + base.index(v) for v in verts[1 + i]])
+    free: list[int] = []
+    last = 0
+
+    def beyond(c: int, p: tuple) -> int:
+        """For a ghost cell, the side of its facet that a point is on: 1 outside."""
+        t = [p if v == GHOST else pts[v] for v in verts[c]]
+        return _sign(*t)
+
+    def conflicts(c: int, p: tuple) -> bool:
+        v = verts[c]
+        if GHOST in v:
+            side = beyond(c, p)
+            if side:
+                return side > 0
             # in the plane of the facet: as the finite cell behind it
-            facet = cells[k][cells[k] != GHOST]
-            behind = finite[np.isin(cells[finite], facet).sum(1) == 3]
-            hit[k] = bool(hit[behind].any())
-        bad = cells[hit]
-        facets = np.stack([np.sort(np.delete(bad, i, 1), 1) for i in range(4)], 1).reshape(-1, 3)
-        _, index, count = np.unique(facets, axis=0, return_index=True, return_counts=True)
-        rim = index[count == 1]
-        new = bad[rim // 4].copy()
-        new[np.arange(len(rim)), rim % 4] = p
-        cells = np.concatenate((cells[~hit], new))
-    return cells
+            return conflicts(near[c][v.index(GHOST)], p)
+        return _within(pts[v[0]], pts[v[1]], pts[v[2]], pts[v[3]], p)
+
+    def locate(p: tuple, c: int) -> int:
+        came = -1
+        while True:
+            v = verts[c]
+            if GHOST in v:
+                return c
+            for i in range(4):
+                if near[c][i] == came:
+                    continue
+                t = [pts[x] for x in v]
+                t[i] = p
+                if _sign(*t) < 0:
+                    came, c = c, near[c][i]
+                    break
+            else:
+                return c
+
+    skip = set(base)
+    for n in _near_order(points).tolist():
+        if n in skip:
+            continue
+        p = pts[n]
+        start = locate(p, last)
+        known = {start: True}
+        todo, rim = [start], []
+        while todo:
+            c = todo.pop()
+            for i in range(4):
+                o = near[c][i]
+                if (hit := known.get(o)) is None:
+                    hit = known[o] = conflicts(o, p)
+                    if hit:
+                        todo.append(o)
+                if not hit:
+                    rim.append((c, i, o))
+        edges: dict[tuple[int, int], tuple[int, int]] = {}
+        made = []
+        for c, i, o in rim:
+            v = list(verts[c])
+            v[i] = n
+            if free:
+                new = free.pop()
+                verts[new], near[new] = v, [-1] * 4
+            else:
+                new = len(verts)
+                verts.append(v)
+                near.append([-1] * 4)
+            made.append(new)
+            near[new][i] = o
+            # the outer cell's side towards the cavity
+            face = set(v) - {n}
+            near[o][next(k for k in range(4) if verts[o][k] not in face)] = new
+            for j in range(4):
+                if j != i:
+                    x, y = sorted(w for k, w in enumerate(v) if k not in (i, j))
+                    if (other := edges.pop((x, y), None)) is None:
+                        edges[x, y] = (new, j)
+                    else:
+                        near[new][j], near[other[0]][other[1]] = other[0], new
+        for c, hit in known.items():
+            if hit:
+                verts[c] = []
+                free.append(c)
+        last = next((c for c in made if GHOST not in verts[c]), made[0])
+        if GHOST in verts[last]:
+            last = near[last][verts[last].index(GHOST)]
+    return np.array([v for v in verts if v], np.int64).reshape(-1, 4)
 
 
 def _independent(points: np.ndarray) -> list[int] | None:

@@ -98,3 +98,9 @@ def factor_graph(priors: DataFrame, factors: DataFrame, rounds: int = 20, eps: f
         if moved is None or moved < eps:
             break
     return total(msgs).select("id", F.transform(normalised(F.col("b")), F.exp).alias("belief"))
+
+
+def two_state(prior: DataFrame, edges: DataFrame, rounds: int = 50, eps: float = 1e-3) -> DataFrame:
+    """(id, p0, p1): beliefs on two states, divided by the greater one. ``prior`` (id, prior) and ``edges`` (src, dst, factor by rows) as for ``pairwise``."""
+    b = F.col("belief")
+    return pairwise(prior, edges, 2, rounds=rounds, eps=eps).select("id", (b[0] / F.array_max(b)).alias("p0"), (b[1] / F.array_max(b)).alias("p1"))

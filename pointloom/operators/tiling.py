@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import ndtree
@@ -60,3 +60,48 @@ def balanced_points(points: DataFrame, depth: int, limit: int) -> DataFrame:
     tree = balance(counts, depth, limit)
     ids = tree.join(leaves(tree).drop("n"), ["up", "leaf"]).select("cell", "leaf_id")
     return celled.join(ids, "cell").select(*points.columns, "leaf_id")
+
+
+def tile_sizes(points: DataFrame, tile: str) -> DataFrame:
+    """(tile_id, n)."""
+    return points.groupBy(F.col(tile).alias("tile_id")).agg(F.count("*").alias("n"))
+
+
+def overflowing(sizes: DataFrame, least: int, most: int) -> DataFrame:
+    """(tile_id, n, overflows): tiles of ``least`` points or more; 1 for those of more than ``most``."""
+    return sizes.where(F.col("n") >= least).select("tile_id", "n", (F.col("n") > most).cast("int").alias("overflows"))
+
+
+def totals(sizes: DataFrame) -> DataFrame:
+    """One row: all points, the largest and the smallest tile, the number of tiles."""
+    return sizes.agg(F.sum("n").alias("total"), F.max("n").alias("largest"), F.min("n").alias("smallest"), F.count("*").alias("tiles"))
+
+
+def auto_depth(n: Column, most: float) -> Column:
+    """The depth of a grid whose cells hold about ``most`` of ``n`` points: ln(n / most) / ln 3, rounded, 0 at least."""
+    return F.greatest(F.floor(F.log(n / float(most)) / F.log(F.lit(3.0)) + 0.5), F.lit(0)).cast("bigint")
+
+
+def extremes(points: DataFrame, tile: str, key: list[str]) -> DataFrame:
+    """(tile, key, x, y, z): the least and the greatest point of each tile on each axis, by ``key`` where several are, each once. One pass of minima, no sort."""
+    ways = [F.min(F.struct((F.col(a) * s).alias("v"), *key, *[F.col(c).alias(f"_{c}") for c in AXES])).alias(f"{a}{i}") for a in AXES for i, s in enumerate((1, -1))]
+    t = points.groupBy(tile).agg(*ways)
+    found = F.array(*[F.struct(*[F.col(f"{a}{i}.{k}").alias(k) for k in key], *[F.col(f"{a}{i}._{c}").alias(c) for c in AXES]) for a in AXES for i in range(2)])
+    return t.select(tile, F.explode(F.array_distinct(found)).alias("e")).select(tile, "e.*")
+
+
+def level_boxes(points: DataFrame, levels: int) -> DataFrame:
+    """(lvl, ix, iy, iz, n and extents): the boxes of an octree's nodes over a cube whose edge is the cloud's widest extent, from the root (0) down.
+
+    Points are summed up at the finest level alone; the levels above are made of its rows.
+    """
+    # one row
+    box = bbox(points).select(*[F.col(f"{a}min").alias(f"_{a}") for a in AXES], F.greatest(*[F.col(f"{a}max") - F.col(f"{a}min") for a in AXES]).alias("_side"))
+    side = F.when(F.col("_side") > 0, F.col("_side")).otherwise(F.lit(1.0))
+    w = 1 << (levels - 1)
+    bins = [F.least(F.floor((F.col(a) - F.col(f"_{a}")) * w / side), F.lit(w - 1)).cast("bigint").alias(f"i{a}") for a in AXES]
+    fine = bbox(points.crossJoin(F.broadcast(box)).select(*AXES, *bins), "ix", "iy", "iz")
+    t = fine.withColumn("lvl", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    up = [F.floor(F.col(f"i{a}") / F.pow(F.lit(2.0), F.lit(levels - 1) - F.col("lvl"))).cast("bigint").alias(f"i{a}") for a in AXES]
+    ends = [f(f"{a}{e}").alias(f"{a}{e}") for a in AXES for f, e in ((F.min, "min"), (F.max, "max"))]
+    return t.groupBy("lvl", *up).agg(F.sum("n").alias("n"), *ends)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.operators import tiling, transfer
-from pointloom.plans import iterative
-from pointloom.plans.relational import SQL
+from pointloom.operators import tiling
+from pointloom.plans import cloud, iterative, oracles
 from pointloom.sources.tables import POINTS_SQL, points
 
 DEPTH, LIMIT = 3, 2000
@@ -39,12 +38,6 @@ def balanced_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.bbox(tiled, "leaf_id")
 
 
-def color_transfer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All places of the cloud as vertices, coloured from all its points."""
-    pts = points(spark, sf_dir)
-    return transfer.nearest_colour(pts, pts)
-
-
 _BOX = "min(x) xmin, max(x) xmax, min(y) ymin, max(y) ymax, min(z) zmin, max(z) zmax, count(*) n"
 _CELLS = f"""
 pts as ({POINTS_SQL}), box as (select {_BOX} from pts),
@@ -66,15 +59,5 @@ _DATAFRAMES = {
 }
 
 
-def _of(sql: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        names = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "pages") if f" {t}" in sql]
-        for t in sorted(names, key=len, reverse=True):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(sql)
-
-    return run
-
-
-QUERIES = {f.__name__: f for f in _DATAFRAMES} | {name: _of(sql) for name, sql in SQL.items()} | {"color_transfer_all": color_transfer_all} | iterative.QUERIES
-ORACLE_SQL = {f.__name__: sql for f, sql in _DATAFRAMES.items()} | SQL | iterative.ORACLE_SQL
+QUERIES = {f.__name__: f for f in _DATAFRAMES} | cloud.QUERIES | iterative.QUERIES
+ORACLE_SQL = {f.__name__: sql for f, sql in _DATAFRAMES.items()} | oracles.SQL | iterative.ORACLE_SQL

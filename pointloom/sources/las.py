@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "path string, row bigint, x double, y double, z double, scan_angle double, point_source_id int, classification int, red int, green int, blue int"
 #: Places of the fields in a record of a point format: classification, scan angle (type and degrees a unit), source, first colour.
@@ -48,24 +50,59 @@ def records(raw: bytes, first: int, n: int, h: dict) -> dict[str, np.ndarray]:
     return out | {c: block[c] if c in fields else None for c in ("red", "green", "blue")}
 
 
-def read_las(spark: SparkSession, path: str, pattern: str = "*.las") -> DataFrame:
-    """The points of all files below ``path`` that match ``pattern``: SCHEMA, rows numbered in each file. A task reads one file at a time; the format bounds it."""
+#: Points of a piece that one task reads at a time.
+PIECE = 4_000_000
 
-    def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        kinds = {"x": pa.float64(), "y": pa.float64(), "z": pa.float64(), "scan_angle": pa.float64()}
+
+def read_las(spark: SparkSession, path: str, pattern: str = "*.las", columns: tuple[str, ...] | None = None, piece: int = PIECE) -> DataFrame:
+    """The points of all files below ``path`` that match ``pattern``: SCHEMA, or the ``columns`` of it that are asked for (path and row always), rows numbered in each file.
+
+    Files are listed with their sizes only. Where executors can open the paths themselves (local and mounted file systems), a file is read in ranges of ``piece`` points by several tasks, which decode the asked
+    columns alone. Other stores are read through Spark, whole files (2 GB at most) at a time.
+    """
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    wanted = ["path", "row", *[c for c in names[2:] if columns is None or c in columns]]
+    kinds = {"x": pa.float64(), "y": pa.float64(), "z": pa.float64(), "scan_angle": pa.float64()}
+    schema = ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in wanted)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+    def batches(name: str, raw: bytes, h: dict, first: int, n: int, at: int) -> Iterator[pa.RecordBatch]:
+        """Points ``first`` to ``first`` + n of a file; ``raw`` begins with point ``at``."""
+        for a in range(first, first + n, BATCH):
+            m = min(BATCH, first + n - a)
+            got = records(raw, a - at, m, h)
+            cols = [pa.array([name] * m), pa.array(np.arange(a, a + m))]
+            cols += [pa.nulls(m, pa.int32()) if got[c] is None else pa.array(got[c].astype(np.float64 if c in kinds else np.int32)) for c in wanted[2:]]
+            yield pa.RecordBatch.from_arrays(cols, wanted)
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 raw = content.as_py()
                 h = header(raw)
-                for a in range(0, h["count"], BATCH):
-                    n = min(BATCH, h["count"] - a)
-                    got = records(raw, a, n, h)
-                    cols = [pa.array([name] * n), pa.array(np.arange(a, a + n))]
-                    cols += [pa.nulls(n, pa.int32()) if got[c] is None else pa.array(got[c].astype(np.float64 if c in kinds else np.int32)) for c in names[2:]]
-                    yield pa.RecordBatch.from_arrays(cols, names)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(decode, SCHEMA)
+                yield from batches(name, raw, h, 0, h["count"], 0)
+
+    def ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for name, k in zip(b.column("path").to_pylist(), b.column("k").to_pylist(), strict=True):
+                with open(_local(name), "rb") as f:
+                    h = header(f.read(375))
+                    first = k * piece
+                    n = min(piece, h["count"] - first)
+                    if n > 0:
+                        f.seek(h["start"] + first * h["length"])
+                        yield from batches(name, f.read(n * h["length"]), h | {"start": 0}, first, n, first)
+
+    listed = files.select("path", "length")
+    if not listed.where(~F.col("path").startswith("file:")).isEmpty():
+        return files.select("path", "content").mapInArrow(whole, schema)
+    # a record has 20 bytes at least, so these are all pieces that a file may have
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("length") / (20 * piece)).cast("bigint"))
+    return listed.select("path", F.explode(parts).alias("k")).repartition(spark.sparkContext.defaultParallelism, "path", "k").mapInArrow(ranges, schema)
+
+
+def _local(path: str) -> str:
+    return unquote(urlparse(path).path)
 
 
 def encode(xyz: np.ndarray, angle: np.ndarray, source: np.ndarray, colour: np.ndarray, scale: float = 0.001) -> bytes:

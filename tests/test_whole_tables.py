@@ -31,15 +31,15 @@ def cloud(spark):
 def test_every_line_is_read(spark, cloud):
     run = lambda q: QUERIES[q](spark, DATA).collect()
     places = sorted({p[:2] for p in cloud})
-    assert sorted((r.x, r.y, r.vertex_id) for r in run("mesh_reindex_all")) == [(*p, k) for k, p in enumerate(places)]
-    assert {(r.s1, r.s2, r.s3) for r in run("dimensionality_all")} == {(c + 3, b + 2, a + 1) for a, b, c in (sorted(p[:3]) for p in cloud)}
+    assert sorted((r.x, r.y, r.vertex_id) for r in run("mesh_reindex")) == [(*p, k) for k, p in enumerate(places)]
+    assert {(r.s1, r.s2, r.s3) for r in run("dimensionality")} == {(c + 3, b + 2, a + 1) for a, b, c in (sorted(p[:3]) for p in cloud)}
     first = {}
     for x, y, z, k, _ in cloud:
         first[x, y] = min(first.get((x, y), (k, z)), (k, z))
-    assert {(r.x, r.y): r.colour for r in run("color_transfer_all")} == {p: w[1] for p, w in first.items()}
+    assert {(r.x, r.y): r.colour for r in run("color_transfer")} == {p: w[1] for p, w in first.items()}
     box = {}
     for x, y, _, _, s in cloud:
         box.setdefault(s, []).append((x, y))
     box = {s: (min(x for x, _ in p), max(x for x, _ in p), min(y for _, y in p), max(y for _, y in p)) for s, p in box.items()}
     want = {(a, b) for a in box for b in box if a < b and box[a][0] <= box[b][1] and box[b][0] <= box[a][1] and box[a][2] <= box[b][3] and box[b][2] <= box[a][3]}
-    assert {(r.a, r.b) for r in run("bbox_intersections_all")} == want
+    assert {(r.a, r.b) for r in run("bbox_intersections")} == want
