@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset, as in tests."""
+    """``df`` checkpointed in the folder that the cluster names in spark.checkpoint.dir; in local mode, where it is unset, in one of our own, which goes at exit."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='pointloom-')}")
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            own = tempfile.mkdtemp(prefix="pointloom-")
+            atexit.register(shutil.rmtree, own, True)
+            place = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(place)
     return df.checkpoint()
