@@ -2,158 +2,185 @@
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import Scratch
+from pointloom.llm.bpe import VOCABULARY, _utf8, codec
+from pointloom.llm.common import Scratch, feistel, give_back
 
-#: Ids of the byte vocabulary that no UTF-8 text has: end of text, and padding.
-END, PAD = 255, 254
 #: A record ends with one more byte, the line feed that Spark's text writer puts between rows.
 RECORD_END = 1
-_ROUNDS = 6
+#: Tasks that write at most; each has a range of shards.
+MOST_TASKS = 20_000
 
 
-def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """The images of ``x`` (int64, below ``n``) under a keyed permutation of 0..n-1: mixed-radix Feistel rounds with cycle walking."""
-    if n <= 1:
-        return x.copy()
-    a = math.isqrt(n - 1) + 1
-    b = -(-n // a)
+class Layout(NamedTuple):
+    """Where a slot lies: record ``slot mod slots_per_shard`` of shard ``slot div slots_per_shard``, ``stride`` ids of ``width`` bytes and RECORD_END each."""
 
-    def mixed(v: np.ndarray, r: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = v.astype(np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % (1 << 64))
-            for s, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                h = (h ^ (h >> np.uint64(s))) * np.uint64(m)
-            return h ^ (h >> np.uint64(31))
+    stride: int
+    slots_per_shard: int
+    width: int
+    end: int  # id that ends a text
+    pad: int  # id that fills up a sequence
 
-    def once(v: np.ndarray) -> np.ndarray:
-        u, w = v // b, v % b
-        for r in range(_ROUNDS):
-            radix = a if r % 2 == 0 else b
-            u, w = w, (u + (mixed(w, r) % np.uint64(radix)).astype(np.int64)) % radix
-        return u * b + w
+    @property
+    def record(self) -> int:
+        return self.stride * self.width + RECORD_END
 
-    y = once(x)
-    while (out := np.flatnonzero(y >= n)).size:
-        y[out] = once(y[out])
-    return y
 
+def layout(vocabulary: str | None = None, stride: int = 1024, slots_per_shard: int = 16_384) -> Layout:
+    """The layout for a rank file: the two ids after its last one end a text and fill up; ids take two bytes where all fit, else four."""
+    last = max(codec(vocabulary or public_tokenizers.path(VOCABULARY)).pieces)
+    return Layout(stride, slots_per_shard, 2 if last + 2 < 1 << 16 else 4, last + 1, last + 2)
 
-def token_count() -> Column:
-    """Tokens of a text as bytes and END."""
-    return (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
 
+def token_rows(docs: DataFrame, how: Layout, vocabulary: str) -> DataFrame:
+    """(doc_id, part, start, n, ids): the ids of each text and its end as little-endian unsigned integers.
 
-def _splits(docs: DataFrame, stride: int) -> tuple[DataFrame, DataFrame, int]:
-    """The scan with its splits' keys; (_f, _s, base), the number of the first sequence of each split; the number of all sequences."""
-    scan = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"))
-    counts = scan.groupBy("_f", "_s").agg(F.ceil(F.sum(token_count()) / F.lit(stride)).cast("bigint").alias("n"))
-    # one row for each split of the files, so as many as the scan has tasks
-    before = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    bases = Scratch(docs.sparkSession).table(counts.select("_f", "_s", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    return scan, bases.select("_f", "_s", "base"), int(bases.agg(F.sum("n")).first()[0] or 0)
+    ``part`` is the task that encoded the text and ``start`` its first id's place among the part's ids.
+    The rows must be written once; all that follows reads part and start from there, whatever the splits of that read are.
+    """
+    kind, end = f"<u{how.width}", how.end.to_bytes(how.width, "little")
 
+    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, part, used = codec(vocabulary), TaskContext.get().partitionId(), 0
+        for b in it:
+            starts, counts, ids = [], [], []
+            for x in c.encode_many(map(_utf8, b.column("text"))):
+                starts.append(used)
+                counts.append(len(x) // 4 + 1)
+                ids.append((x if how.width == 4 else np.frombuffer(x, "<u4").astype(kind).tobytes()) + end)
+                used += counts[-1]
+            cols = [b.column("doc_id"), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "start", "n", "ids"])
+        c.forget()
+        give_back()
 
-def _based(scan: DataFrame, bases: DataFrame) -> DataFrame:
-    return scan.join(F.broadcast(bases), ["_f", "_s"]).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), "base")
+    small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return small.mapInArrow(encode, "doc_id bigint, part bigint, start bigint, n bigint, ids binary")
 
 
-def pack_sequences(scan: DataFrame, bases: DataFrame, total: int, stride: int, slots_per_shard: int, key: int) -> DataFrame:
-    """(shard, slot, payload): the texts of a split one after the other, cut every ``stride`` tokens; only a split's last sequence is filled up."""
+def _div(x: Column, k: int) -> Column:
+    return F.call_function("div", x, F.lit(k).cast("bigint"))
 
-    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(numbers: list[int], parts: list[bytes]) -> pa.RecordBatch:
-            slot = permute(np.array(numbers, np.int64), total, key)
-            return pa.RecordBatch.from_arrays([pa.array(slot // slots_per_shard), pa.array(slot), pa.array(parts, pa.binary())], ["shard", "slot", "payload"])
 
-        rest, base, number = b"", None, 0
-        for b in it:
-            numbers, parts = [], []
-            for text, own in zip(b.column("text"), b.column("base").to_pylist(), strict=True):
-                if own != base:
-                    if rest:
-                        numbers.append(number)
-                        parts.append(rest.ljust(stride, bytes([PAD])))
-                    rest, base, number = b"", own, own
-                raw = rest + (text.as_py() or b"") + bytes([END])
-                whole = len(raw) // stride
-                parts += [raw[k * stride : (k + 1) * stride] for k in range(whole)]
-                numbers += range(number, number + whole)
-                number += whole
-                rest = raw[whole * stride :]
-            yield rows(numbers, parts)
-        if rest:
-            yield rows([number], [rest.ljust(stride, bytes([PAD]))])
-
-    return _based(scan, bases).mapInArrow(pack, "shard bigint, slot bigint, payload binary")
-
-
-def place_documents(scan: DataFrame, bases: DataFrame, total: int, stride: int, slots_per_shard: int, key: int) -> DataFrame:
-    """(doc_id, piece, slot, shard, byte_offset, n_tokens, crc32): where each piece of each document went, a piece for each sequence it reaches into."""
-    names = ["doc_id", "piece", "slot", "shard", "byte_offset", "n_tokens", "crc32"]
-
-    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, used = None, 0
+def place_pieces(tokens: DataFrame, bases: DataFrame, total: int, how: Layout, key: int) -> DataFrame:
+    """(doc_id, piece, slot, shard, at, n_tokens, ids): a text has a piece for each sequence that it reaches into, ``at`` being its first token's place there.
+
+    A part's ids, one text after the other, are cut every ``stride`` tokens; sequences are numbered by part and place, and a number's image under a keyed
+    Feistel permutation of all of them (cycle walking) is the slot.
+    """
+    s, start, n = how.stride, F.col("start"), F.col("n")
+    # one row for each task that encoded, so the size is bounded by their number
+    t = tokens.join(F.broadcast(bases), "part")
+    t = t.select("doc_id", "base", "start", "n", "ids", F.posexplode(F.sequence(_div(start, s), _div(start + n - 1, s))).alias("piece", "q"))
+    low, high = F.greatest(F.col("q") * s, start), F.least((F.col("q") + 1) * s, start + n)
+    part = F.substring(F.col("ids"), ((low - start) * how.width + 1).cast("int"), ((high - low) * how.width).cast("int"))
+    t = t.select("doc_id", F.col("piece").cast("bigint").alias("piece"), feistel(F.col("base") + F.col("q"), total, key).alias("slot"), (low - F.col("q") * s).alias("at"), (high - low).alias("n_tokens"), part.alias("ids"))
+    return t.select("doc_id", "piece", "slot", _div(F.col("slot"), how.slots_per_shard).alias("shard"), "at", "n_tokens", "ids")
+
+
+def _assembled(pieces: DataFrame, shards: int, how: Layout) -> DataFrame:
+    """(shard, value): the sequences in the order of their slots; a range of shards a task."""
+    tasks = min(shards, MOST_TASKS)
+    fill = how.pad.to_bytes(how.width, "little")
+
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, shard, parts = None, None, []
+        size = how.stride * how.width
         for b in it:
-            ids, pieces, number, within, counts, crcs = [], [], [], [], [], []
-            for doc_id, text, own in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("base").to_pylist(), strict=True):
-                if own != base:
-                    base, used = own, 0
-                raw, at, k = (text.as_py() or b"") + bytes([END]), 0, 0
-                while at < len(raw):
-                    n = min(len(raw) - at, stride - used % stride)
-                    ids.append(doc_id)
-                    pieces.append(k)
-                    number.append(base + used // stride)
-                    within.append(used % stride)
-                    counts.append(n)
-                    crcs.append(zlib.crc32(raw[at : at + n]))
-                    at, used, k = at + n, used + n, k + 1
-            slot = permute(np.array(number, np.int64), total, key)
-            offset = slot % slots_per_shard * (stride + RECORD_END) + np.array(within, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, pieces, slot, slot // slots_per_shard, offset, counts, crcs)], names)
-
-    return _based(scan, bases).mapInArrow(place, ", ".join(f"{n} bigint" for n in names))
-
-
-def write_shards(docs: DataFrame, path: str, stride: int = 1024, slots_per_shard: int = 16_384, key: int = 11) -> DataFrame:
-    """Writes ``path``/shard=<k>/ with one file each and returns where every piece of every document went (without the payload).
-
-    ``docs`` is a file scan. Tokens are the bytes of the UTF-8 text and END; the texts of a file split are packed one after the other into sequences of ``stride``
-    tokens, the last of which is filled up with PAD. Sequences are numbered by file and place, which needs a count for each split but no sort; a number's image under
-    ``permute`` is its slot. The same files and split size give the same shards, whichever task reads what.
-
-    Slot s lies in shard s div ``slots_per_shard`` at byte (s mod ``slots_per_shard``) * (``stride`` + 1), so a reader that knows its last slot goes on with one seek.
-    Shards are ranges of slots and have equal sizes (but the last), whatever the documents' keys or lengths are.
-
-    A null or empty text is END alone; a null doc_id is kept; an empty table writes nothing.
+            out: tuple[list, list] = ([], [])
+            for k, s, x in zip(b.column("slot").to_pylist(), b.column("shard").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                if k != slot:
+                    if parts:
+                        out[0].append(shard)
+                        out[1].append(b"".join(parts))
+                    slot, shard, parts = k, s, []
+                parts.append(x)
+            yield rows(out, size)
+        if parts:
+            yield rows(([shard], [b"".join(parts)]), size)
+
+    def rows(out: tuple[list, list], size: int) -> pa.RecordBatch:
+        whole = [x if len(x) == size else x + fill * ((size - len(x)) // how.width) for x in out[1]]
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(whole, pa.binary())], ["shard", "value"])
+
+    ranged = pieces.select("shard", "slot", "at", "ids").repartitionById(tasks, _div(F.col("shard") * tasks, shards).cast("int"))
+    return ranged.sortWithinPartitions("shard", "slot", "at").select("shard", "slot", "ids").mapInArrow(join, "shard bigint, value binary")
+
+
+def write_shards(docs: DataFrame, path: str, stride: int = 1024, slots_per_shard: int = 16_384, key: int = 11, vocabulary: str | None = None) -> DataFrame:
+    """Writes ``path``/shard=<k>/ with one file each and returns where every piece of every document went, without the ids:
+    doc_id, piece, slot, shard, byte_offset, n_tokens, crc32 (of the piece's bytes).
+
+    Texts are encoded once, by operator 8's codec. A sequence has ``stride`` ids; only the last of each part is filled up. Slots are dealt to the writing tasks by ranges,
+    so every shard is written by one task, in order, and all but the last have equal sizes, whatever the documents' keys or lengths are.
+    A reader that knows its last slot goes on with one seek (``stream_slots``). The same files and the same splits of the first read give the same shards.
+
+    A null or empty text is its end alone; a null doc_id is kept; columns besides doc_id and text don't matter; an empty table writes nothing.
     """
-    scan, bases, total = _splits(docs, stride)
-    rows = pack_sequences(scan, bases, total, stride, slots_per_shard, key)
-    shards = max(1, -(-total // slots_per_shard))
-    ordered = rows.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "slot")
-    ordered.select("shard", F.col("payload").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
-    return place_documents(scan, bases, total, stride, slots_per_shard, key)
-
-
-def read_shards(spark: SparkSession, path: str, stride: int = 1024, slots_per_shard: int = 16_384, first_slot: int = 0) -> DataFrame:
-    """(slot, payload) of all slots from ``first_slot`` on; whole shards before it aren't opened."""
-    record = stride + RECORD_END
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").load(path)
-    files = files.where(F.col("shard") >= first_slot // slots_per_shard).select(F.col("shard").cast("bigint").alias("shard"), "content")
-    at = F.sequence(F.lit(0), (F.octet_length("content") / record).cast("int") - 1)
-    rows = files.select((F.col("shard") * slots_per_shard).alias("_b"), "content", F.explode(at).alias("_i"))
-    return rows.select((F.col("_b") + F.col("_i")).alias("slot"), F.substring("content", F.col("_i") * record + 1, F.lit(stride)).alias("payload")).where(F.col("slot") >= first_slot)
-
-
-def materialise_documents(docs: DataFrame, stride: int = 1024, slots_per_shard: int = 16_384, key: int = 11) -> DataFrame:
-    """Writes all documents as shards into the shared folder; returns where each piece went, with its CRC."""
-    return write_shards(docs, Scratch(docs.sparkSession).base + "/shards", stride, slots_per_shard, key)
+    spark = docs.sparkSession
+    vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
+    how, scratch = layout(vocabulary, stride, slots_per_shard), Scratch(spark)
+    tokens = scratch.table(token_rows(docs, how, vocabulary))
+    counts = tokens.groupBy("part").agg(F.ceil(F.max(F.col("start") + F.col("n")) / F.lit(stride)).cast("bigint").alias("s"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = scratch.table(counts.select("part", "s", F.coalesce(F.sum("s").over(before), F.lit(0)).cast("bigint").alias("base")))
+    total = int(bases.agg(F.sum("s")).first()[0] or 0)
+    pieces = place_pieces(tokens, bases.select("part", "base"), max(total, 1), how, key)
+    if total:
+        shards = -(-total // slots_per_shard)
+        rows = _assembled(pieces, shards, how)
+        rows.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+        written = _files(spark, path).agg(F.sum("length")).first()[0]
+        if written != total * how.record:
+            raise RuntimeError(f"{path} holds {written} bytes, {total * how.record} were to be written")
+    offset = F.col("slot") % slots_per_shard * how.record + F.col("at") * how.width
+    return pieces.select("doc_id", "piece", "slot", "shard", offset.alias("byte_offset"), "n_tokens", F.crc32("ids").alias("crc32"))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+
+
+def read_shards(spark: SparkSession, path: str, how: Layout, first_slot: int = 0) -> DataFrame:
+    """(slot, payload) of all slots from ``first_slot`` on; shards before it aren't opened. A shard's size is bounded by the layout."""
+    files = _files(spark, path).where(F.col("shard") >= first_slot // how.slots_per_shard).select(F.col("shard").cast("bigint").alias("shard"), "content")
+    at = F.sequence(F.lit(0), (F.octet_length("content") / how.record).cast("int") - 1)
+    rows = files.select((F.col("shard") * how.slots_per_shard).alias("_b"), "content", F.explode(at).alias("_i"))
+    return rows.select((F.col("_b") + F.col("_i")).alias("slot"), F.substring("content", F.col("_i") * how.record + 1, F.lit(how.record - RECORD_END)).alias("payload")).where(F.col("slot") >= first_slot)
+
+
+def stream_slots(spark: SparkSession, path: str, how: Layout, first_slot: int = 0, records: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) one after the other from ``first_slot`` on: one seek into its shard, then sequential reads of ``records`` records, from any store that Hadoop reads."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    shard, skip = divmod(first_slot, how.slots_per_shard)
+    while fs.exists(folder := jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}")):
+        file = next(s for s in fs.listStatus(folder) if s.getPath().getName().endswith(".txt"))
+        left, slot = file.getLen() // how.record - skip, shard * how.slots_per_shard + skip
+        stream = fs.open(file.getPath())
+        try:
+            stream.seek(skip * how.record)
+            while left > 0:
+                n = min(left, records)
+                raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n * how.record))
+                for k in range(n):
+                    yield slot + k, np.frombuffer(raw, f"<u{how.width}", how.stride, k * how.record)
+                slot, left = slot + n, left - n
+        finally:
+            stream.close()
+        shard, skip = shard + 1, 0
+
+
+def materialise_documents(docs: DataFrame, path: str | None = None, stride: int = 1024, slots_per_shard: int = 16_384, key: int = 11) -> DataFrame:
+    """Writes all documents as shards to ``path`` (by default a folder of their own in the shared one); returns where each piece went, with its CRC."""
+    return write_shards(docs, path or Scratch(docs.sparkSession).base + "/shards", stride, slots_per_shard, key)
