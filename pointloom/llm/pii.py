@@ -5,15 +5,19 @@ from __future__ import annotations
 import bisect
 import calendar
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.llm.common import give_back
+
 KINDS = ("email", "card", "iban", "ip", "phone", "ssn", "date", "secret")
 ROUNDS = 6
 
@@ -57,7 +61,7 @@ class Feistel:
         return self._walk((self._walk(x, False) - 1) % self.n, True)
 
 
-@lru_cache(65_536)
+@lru_cache(16_384)
 def _permute(kind: str, n: int, x: int, key: bytes) -> int:
     return Feistel(n, hashlib.blake2b(f"{kind}:{n}".encode(), key=key, digest_size=32).digest()).pseudonym(x) if n > 1 else x
 
@@ -121,6 +125,18 @@ def _ip(s: str, key: bytes) -> str | None:
     return ".".join(str(x >> 24 - 8 * i & 255) for i in range(4))
 
 
+def _ip6(s: str, key: bytes) -> str | None:
+    try:
+        x = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    # the first 16 bits (the kind of address) stay; equal addresses are equal in all spellings
+    if x >> 112 == 0 or not re.search("[0-9]", s):
+        return None
+    new = str(ipaddress.IPv6Address(x >> 112 << 112 | _permute(f"ip6{x >> 112}", 1 << 112, x & (1 << 112) - 1, key)))
+    return new.upper() if s != s.lower() else new
+
+
 def _ssn(s: str, key: bytes) -> str | None:
     a, g, n = int(s[:3]), int(s[4:6]), int(s[7:])
     if a in (0, 666) or a > 899 or not g or not n:
@@ -132,16 +148,21 @@ def _ssn(s: str, key: bytes) -> str | None:
     return f"{a:03d}-{g + 1:02d}-{n + 1:04d}"
 
 
+#: Country calling codes of two digits; those that begin with 1 or 7 have one digit, all others three.
+_TWO_DIGIT_CODES = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+
+
 def _phone(s: str, key: bytes) -> str | None:
+    """Numbers with the same digits are the same number, however they are grouped; a trunk zero in brackets doesn't count."""
     d = re.sub(r"\D", "", s)
     if s[0] == "+" and d[0] != "1":
-        # the country code is taken as the digits up to the first separator, or two
-        lead = re.match(r"\+(\d{1,3})(?=\D)", s)
-        code = lead[1] if lead else d[:2]
-        if not 8 <= len(d) <= 15:
+        n = 1 if d[0] == "7" else 2 if d[:2] in _TWO_DIGIT_CODES else 3
+        code, rest = d[:n], d[n:]
+        trunk = "0" if "(0)" in s and rest[0] == "0" else ""
+        rest = rest[len(trunk) :]
+        if not 8 <= len(code) + len(rest) <= 15:
             return None
-        rest = d[len(code) :]
-        return _put(s, code + str(_permute(f"tel{code}", 10 ** len(rest), int(rest), key)).zfill(len(rest)))
+        return _put(s, code + trunk + str(_permute(f"tel{code}", 10 ** len(rest), int(rest), key)).zfill(len(rest)))
     code, rest = d[:-10], d[-10:]
     if code not in ("", "1") or len(rest) != 10:
         return None
@@ -157,15 +178,25 @@ def _phone(s: str, key: bytes) -> str | None:
     return _put(s, f"{code}{a + 200}{e + 200}{n:04d}")
 
 
-_FIRST_YEAR, _YEARS = 1900, 200
+@lru_cache(4)
+def _calendar(late: bool, century: int) -> tuple[tuple[tuple[int, int, int], ...], dict[tuple[int, int, int], int]]:
+    """The dates of a century whose day is over 12, or those whose day could be a month."""
+    days = [(y, m, d) for y in range(century, century + 100) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1) if (d > 12) == late]
+    return tuple(days), {x: i for i, x in enumerate(days)}
 
 
-@lru_cache(8)
-def _calendar(part: str, first: int = _FIRST_YEAR, years: int = _YEARS) -> tuple[tuple[tuple[int, int, int], ...], dict[tuple[int, int, int], int]]:
-    """The dates that a written form may stand for: all, those with a day over 12, or those whose day could be a month."""
-    days = [(y, m, d) for y in range(first, first + years) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1)]
-    days = [x for x in days if part == "all" or (x[2] > 12) == (part == "late")]
-    return tuple(days), {x: i for i, x in enumerate(days)}
+def _new_date(y: int, m: int, d: int, key: bytes) -> tuple[int, int, int] | None:
+    """The pseudonym of a date of 1900 to 2099, the same in all notations.
+
+    It keeps the century, so that it can be written with two digits, and whether the day is over 12, so that it is read in the same order of day and month.
+    """
+    if not 1900 <= y < 2100:
+        return None
+    late, century = d > 12, y // 100 * 100
+    days, index = _calendar(late, century)
+    if (at := index.get((y, m, d))) is None:
+        return None
+    return days[_permute(f"date{late}{century}", len(days), at, key)]
 
 
 def _date(s: str, key: bytes) -> str | None:
@@ -175,18 +206,15 @@ def _date(s: str, key: bytes) -> str | None:
     p = s.split(sep)
     short = all(len(x) < 3 for x in p)
     if len(p[0]) == 4:
-        order, part = (0, 1, 2), "all"
+        order = (0, 1, 2)
     else:
         a, b = int(p[0]), int(p[1])
-        part = "late" if a > 12 or b > 12 else "early"
-        # day first with dots or where the first number can't be a month
-        order = (2, 1, 0) if a > 12 or part == "early" and sep == "." else (2, 0, 1)
+        # day first where the first number can't be a month, and with dots unless the second can't
+        order = (2, 1, 0) if a > 12 or b <= 12 and sep == "." else (2, 0, 1)
     # a year of two digits is one of 2000 to 2099
-    days, index = _calendar(part, 2000, 100) if short else _calendar(part)
     y, m, d = (int(p[i]) for i in order)
-    if (y + 2000 * short, m, d) not in index:
+    if (new := _new_date(y + 2000 * short, m, d, key)) is None:
         return None
-    new = days[_permute(f"date{part}{'2' * short}", len(days), index[y + 2000 * short, m, d], key)]
     out = [""] * 3
     padded = any(len(x) == 2 and x[0] == "0" for x in p[: 2 if short else 3]) or all(len(x) != 1 for x in p)
     for i, v in zip(order, new, strict=True):
@@ -215,10 +243,9 @@ def _named_date(s: str, key: bytes) -> str | None:
     m = _NAMED.fullmatch(s)
     k = "1" if m["m1"] else "2"
     names, month = _MONTH_OF[m["m" + k].lower()]
-    days, index = _calendar("all")
-    if (at := index.get((int(m["y" + k]), month + 1, int(m["d" + k])))) is None:
+    if (new := _new_date(int(m["y" + k]), month + 1, int(m["d" + k]), key)) is None:
         return None
-    y, mo, d = days[_permute("dateall", len(days), at, key)]
+    y, mo, d = new
     old, name = m["m" + k], names[mo - 1]
     name = name.lower() if old == old.lower() else name.upper() if old == old.upper() else name.capitalize()
     day = str(d).zfill(2) if m["d" + k][0] == "0" else str(d)
@@ -262,6 +289,10 @@ _FORMS = (
     ("ssn", re.compile(r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)", re.ASCII)),
 )
 _PHONES = re.compile(r"(?:\+1[\ .-]?|1[\ .-])?(?:\(\d{3}\)[\ .-]?|\d{3}[\ .-])\d{3}[\ .-]?\d{4}|\+\d{1,3}[\ .-]?(?:\(?\d{1,4}\)?[\ .-]?){1,4}\d{2,4}|\+1\d{10}", re.ASCII)
+#: Ten digits in a row are a phone number only after a word that says so.
+_BARE_US = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}(?!\w|[-.]\d)")
+_CUE = re.compile(r"\b(?:tel|phone|telephone|call|cell|mobile|fax)\W{1,3}(?:(?:me|us|at|no|number|is)\W{1,2}){0,2}\Z", re.IGNORECASE)
+_IP6_RUN = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
 _PHONE_RUN = re.compile(r"\+?\(?\d(?:[ .()-]{0,3}\d){6,18}", re.ASCII)
 _CARD_RUN = re.compile(r"\d(?:[ -]?\d){12,18}", re.ASCII)
 _IBAN_RUN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}", re.ASCII)
@@ -290,6 +321,10 @@ def _candidates(text: str, key: bytes) -> Iterator[tuple[int, int, int, str, str
         for m in _NAMED.finditer(text, max(0, year.start() - 32), year.end()):
             if m.end() == year.end() and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")) and (new := _named_date(m[0], key)):
                 yield 0, m.start(), -m.end(), "date", new
+    if ":" in text:
+        for m in _IP6_RUN.finditer(text):
+            if len(m[0]) > 5 and len([x for x in m[0].split(":") if x]) > 2 and (new := _ip6(m[0], key)):
+                yield 0, m.start(), -m.end(), "ip", new
     for at in _START.finditer(text):
         a, first = at.start(), text[at.start()]
         if first in _DIGITS:
@@ -310,6 +345,8 @@ def _candidates(text: str, key: bytes) -> Iterator[tuple[int, int, int, str, str
                 for b in _ends(text, run):
                     if new := _iban(text[a:b], key):
                         yield 0 if _IBAN_LENGTHS.get(text[a : a + 2]) == len(text[a:b].replace(" ", "")) else 1, a, -b, "iban", new
+        elif (bare := _BARE_US.match(text, a)) and _CUE.search(text[max(0, a - 24) : a]) and (new := _phone(bare[0], key)):
+            yield 1, a, -bare.end(), "phone", new
         elif run := _PHONE_RUN.match(text, a):
             for b in _ends(text, run):
                 if _PHONES.fullmatch(text, a, b) and (new := _phone(text[a:b], key)):
@@ -367,17 +404,28 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join([*out, text[end:]]), counts
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = "change me", text: str = "text") -> DataFrame:
+_own_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of the session: spark.pointloom.pseudonym.key, which must be kept secret and gives the same pseudonyms in every run; where it is unset, a random
+    one that lives as long as the application."""
+    if key := spark.conf.get("spark.pointloom.pseudonym.key", None):
+        return key
+    return _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def pseudonymise_documents(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and a column n_<kind> (int) for each of KINDS.
 
-    Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, US social security numbers, phone numbers, calendar dates of 1900 to 2099 (in figures, with two-digit years, or with English, German, French or Spanish month names),
+    Card numbers (Luhn), IBANs (mod 97), IP addresses, US social security numbers, phone numbers, calendar dates of 1900 to 2099 (in figures, with two-digit years, or with English, German, French or Spanish month names),
     e-mail addresses and hexadecimal secrets after a word such as token are replaced by others of the same form,
     with valid check digits, by a keyed one-to-one map: equal values stay equal in all documents, different ones
-    different, and none stays as it is. What fails its check is left alone.
+    different, and none stays as it is. Dates, phone numbers and IP addresses are mapped by value, so they stay linked across notations. Whoever has ``key`` can undo the map. What fails its check is left alone.
 
     Null texts stay null, empty ones empty, and all other columns (a null doc_id, too) are kept; columns named n_<kind> are replaced. One pass, no shuffle.
     """
-    raw = key.encode()
+    raw = hashlib.blake2b(key.encode(), digest_size=32).digest()
     names = [f"n_{k}" for k in KINDS]
 
     @F.arrow_udf(f"struct<text:string,{','.join(f'{n}:int' for n in names)}>")
@@ -391,6 +439,7 @@ def pseudonymise_documents(docs: DataFrame, key: str = "change me", text: str =
                 for k in KINDS:
                     counts[k].append(c.get(k, 0))
             yield pa.StructArray.from_arrays([pa.array(new, pa.string()), *(pa.array(counts[k], pa.int32()) for k in KINDS)], ["text", *names])
+        give_back()
 
     docs = docs.drop(*names)
     t = docs.withColumn("_pii", of(F.col(text).cast("binary")))

@@ -34,9 +34,9 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pointloom.llm.pii import pseudonymise_documents
+    from pointloom.llm.pii import pseudonymise_documents, session_key
 
-    return pseudonymise_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +72,9 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_quality_rules, op3_ball_tree_top_k, op4_token_shards, op5_pseudonymise, op6_mix_sources, op7_feistel_shards, op8_byte_bpe, op9_suffix_repeats, op10_weak_label_quality)}
 ORACLE_SQL: dict[str, str] = {
     "op3_ball_tree_top_k": """
-        with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) e from embeddings
-          where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
-        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) "rank" from s)
+        with v as (select row_number() over () n, vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) e from embeddings
+          where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.n, q.vec_id query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) score from v q join v c on q.n <> c.n and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+        r as (select *, row_number() over (partition by n order by score desc, vec_id) "rank" from s)
         select query_id, cast("rank" as int) "rank", vec_id, score from r where "rank" <= 10""",
 }
