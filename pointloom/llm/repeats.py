@@ -82,13 +82,13 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(uid, at, first, last, upto, k, h, g0, g1): h is a hash of the anchor, g0 and g1 are a 128-bit digest of all bytes of its windows and of where in them the anchor is.
+    """(uid, at, first, last, upto, k, h, g): h is a hash of the anchor, g of all bytes of its windows and of where in them the anchor is.
 
-    Neighbours in a text whose digests are equal (periodic text) are one row: ``k`` anchors, whose windows reach to ``upto``.
+    Neighbours in a text whose h and g are equal (periodic text) are one row: ``k`` anchors, whose windows reach to ``upto``.
     """
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash64, hash128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+        hash64 = xxhash.xxh3_64_intdigest
         for b in it:
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
             for u, x in zip(b.column("uid").to_pylist(), b.column("text"), strict=True):
@@ -97,15 +97,15 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 h = np.fromiter((hash64(raw[a : a + GRAM]) for a in at.tolist()), np.uint64, len(at)).view(np.int64)
-                g = np.frombuffer(b"".join([hash128(raw[f : e + LENGTH], a - f) for a, f, e in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]), "<i8").reshape(-1, 2)
-                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]).any(1))))
+                g = np.fromiter((hash64(raw[f : e + LENGTH], a - f) for a, f, e in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
                 ends = np.concatenate((new[1:], [len(at)])) - 1
-                for col, v in zip(cols, (np.full(len(new), u, np.int64), at[new], first[new], last[new], last[ends], ends - new + 1, h[new], g[new, 0], g[new, 1]), strict=True):
+                for col, v in zip(cols, (np.full(len(new), u, np.int64), at[new], first[new], last[new], last[ends], ends - new + 1, h[new], g[new]), strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names)
         give_back()
 
-    names = ["uid", "at", "first", "last", "upto", "k", "h", "g0", "g1"]
+    names = ["uid", "at", "first", "last", "upto", "k", "h", "g"]
     return docs.select("uid", "text").mapInArrow(rows, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -273,9 +273,11 @@ def _refined(hot: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         folded = scratch.table(t.groupBy("key", "same").agg(F.sum("n").alias("m"), one))
         again = t.where("n = 1").join(folded.where("m > 1").select("key", "same"), ["key", "same"])
         marks.append(scratch.table(again.select("uid", "first", "last")))
-        sizes = folded.groupBy("key").agg(F.count("*").alias("d")).where("d > 1")
-        kept = folded.join(scratch.table(sizes), "key").select("key", "same", "d", "m", "r.uid", "r.at", "r.first", "r.last")
-        kept = scratch.table(kept.join(t.select("key", "same", "uid", "first", "last", "a", "b", "context"), ["key", "same", "uid", "first", "last"]))
+        sizes = scratch.table(folded.groupBy("key").agg(F.count("*").alias("d")).where("d > 1"))
+        # most parts meet no other: their bytes go no further than this join, before any shuffle where the keys that stay are few
+        alive = t.join(sizes, "key").select("key", "same", "uid", "first", "last", "a", "b", "context")
+        kept = folded.join(sizes, "key").select("key", "same", "d", "m", "r.uid", "r.at", "r.first", "r.last")
+        kept = scratch.table(kept.join(alive, ["key", "same", "uid", "first", "last"]))
         rows.append(kept.where(F.col("d") <= HOT).select("key", F.col("m").alias("n"), "uid", "first", "last", "context"))
         level = kept.where(F.col("d") > HOT).select("a", "b", F.col("m").alias("n"), "uid", "at", "first", "last", "context")
         scratch.drop(t)
@@ -288,15 +290,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     1. Each window belongs to one anchor (a content-defined sample, one in about 60 bytes), equal windows to anchors of equal hash h. Windows of an anchor that
        occurs once can't be repeated and are not sorted.
-    2. Contexts (an anchor's windows with all their bytes) that are equal by a 128-bit digest are one entry of the suffix sort, with a multiplicity; those of two or more are repeated whole.
+    2. Contexts (an anchor's windows with all their bytes) with equal h and g are one entry of the suffix sort, with a multiplicity; those of two or more are repeated whole.
+       g need only tell the contexts of one anchor apart: two different ones are taken for equal with probability 2**-64.
     3. Where one h has several contexts, they go to the suffix bucket of h and are sorted there; anchors with more than HOT are first refined (``_refined``), so no bucket grows with the corpus.
     """
     a = scratch.table(anchor_rows(docs))
     many = scratch.table(a.groupBy("h").agg(F.sum("k").alias("m")).where("m > 1").select("h"))
     twice = scratch.table(a.join(many, "h"))
     scratch.drop(a)
-    hg = scratch.table(twice.groupBy("h", "g0", "g1").agg(F.sum("k").alias("n"), F.min(F.struct("uid", "at", "first", "last")).alias("r")))
-    whole = twice.join(hg.where("n > 1").select("h", "g0", "g1"), ["h", "g0", "g1"]).select("uid", "first", F.col("upto").alias("last"))
+    hg = scratch.table(twice.groupBy("h", "g").agg(F.sum("k").alias("n"), F.min(F.struct("uid", "at", "first", "last")).alias("r")))
+    whole = twice.join(hg.where("n > 1").select("h", "g"), ["h", "g"]).select("uid", "first", F.col("upto").alias("last"))
     kinds = scratch.table(hg.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"))
     asked = scratch.table(hg.join(kinds, "h").select("h", "n", "d", "r.uid", "r.at", "r.first", "r.last"))
     total, hot = asked.agg(F.count("*"), F.count_if(F.col("d") > HOT)).first()
