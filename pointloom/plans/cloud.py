@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import evidence as ev
 from pointloom.functions import ndtree, strings
 from pointloom.functions import simplex as sx
-from pointloom.operators import attributes, belief, mail, neighbours, numbering, ownership, reconstruction, scanlines, surface, thinning, tiling, transfer
+from pointloom.operators import attributes, belief, mail, neighbours, numbering, ownership, reconstruction, scanlines, surface, thinning, tiling, transfer, triangulation
 from pointloom.sources import generate, sinks, streams, texts
 from pointloom.sources.tables import cells, corner_scales, massed_cells, nation_graph, points, table
 
@@ -371,6 +371,41 @@ def located_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruction.located(voxel_cells(spark, sf_dir), places, 1.0).groupBy("cell_id").agg(F.count("*").alias("n"))
 
 
+def neighbour_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangulation.neighbour_mail(voxel_cells(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def tile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangulation.tile_edges(voxel_cells(spark, sf_dir))
+
+
+def cell_tile_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangulation.tile_boxes(voxel_cells(spark, sf_dir))
+
+
+def cell_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangulation.ring(voxel_cells(spark, sf_dir), spark.range(729)).groupBy("id").agg(F.count("*").alias("n"), F.sum("other").alias("others"))
+
+
+def merge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangulation.merge_graph(voxel_cells(spark, sf_dir)).groupBy("tiles").agg(F.count("*").alias("n"))
+
+
+def cell_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangulation.faults(voxel_cells(spark, sf_dir))
+
+
+def voronoi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triangulation.voronoi_lines(voxel_cells(spark, sf_dir))
+    return t.groupBy(F.round(F.sqrt(sx.squared_distance(sx.vec("p"), sx.vec("q"))), 6).alias("length")).agg(F.count("*").alias("n"), F.sum("a").alias("firsts"))
+
+
+def cell_soup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = voxel_cells(spark, sf_dir)
+    count = lambda main: triangulation.soup(c, main).groupBy("tile_id").agg(F.count("*").alias("n")).select(F.lit(main).alias("main_only"), "tile_id", "n")
+    return count(False).unionByName(count(True))
+
+
 def mesh_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.numbered(points(spark, sf_dir).select("x", "y").distinct(), [F.col("x"), F.col("y")], "vertex_id")
 
@@ -559,7 +594,7 @@ QUERIES = {
         canonical_edges, collect_neighbors, grouped_values, clique_two_hop, update_vertices, bbox_intersections, sent_once, union_bag, distinct_leaves, simplex_metrics, squared_distances, axis_projection,
         circumsphere_filter, angles, ownership_main, simplex_counts, shared_cell_owners, main_first_numbers, global_cell_ids, local_id_map, filled_labels, label_disagreement, weighted_disagreement, lagrange_update, shared_costs,
         cell_evidence, evidence_exchange, mass_regularize, mass_surface, mass_beam, ds_fusion, robust_kernels, dimensionality, unary_cost, surface_facets, open_surface, dual_facets, facet_weights, energy,
-        flooded_cells, located_points, mesh_reindex, cell_triangles, scanline_segments, line_of_sight_fallback, sensor_default, local_origin, flipped_normals, nearest_center, lloyd_step, pca_covariance, bit_flags,
+        flooded_cells, located_points, neighbour_mail, tile_edges, cell_tile_boxes, cell_rings, merge_graph, cell_faults, voronoi_lines, cell_soup, mesh_reindex, cell_triangles, scanline_segments, line_of_sight_fallback, sensor_default, local_origin, flipped_normals, nearest_center, lloyd_step, pca_covariance, bit_flags,
         random_cloud, attr_count, attr_replace, buffer_tag, buffered_tiles, crop_bounds, cloud_info, colour_to_bytes, raster_colours, color_transfer, iter_stats, timing_sums, path_clean, last_int_in_name, bbox_parse,
         param_expand, tile_boxes, bp_two_state_iter1, bp_two_state_iter3,
     )

