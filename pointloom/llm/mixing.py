@@ -144,7 +144,8 @@ def mix_documents(docs: DataFrame, row_id: Column | None = None, weights: tuple
     small = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(text).alias("_h"), *extra)
     # in each source, documents are paired in the order of a hash of their ids; the text only tells rows of one id apart
     order = [F.col("source").isNull(), F.col("source"), F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("size"), F.col("_h")]
-    rows = scratch.table(with_row_number(small, order, "rn", scratch))
+    # written first: numbering samples its input, which would count the words of every text twice
+    rows = scratch.table(with_row_number(scratch.table(small), order, "rn", scratch))
     n = rows.count()
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = scratch.table(source_targets(sums, weights, stop, scratch))
