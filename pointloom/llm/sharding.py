@@ -33,5 +33,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: int = 20240607) -> Da
     """
     text = F.coalesce("text", F.lit(""))
     small = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_h"))
-    out = shard_rows(small, [F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col("_h")], shards, key)
+    # written first: numbering samples its input, which would hash every text twice
+    scratch = Scratch(docs.sparkSession)
+    out = shard_rows(scratch.table(small), [F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.col("_h")], shards, key, scratch)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
