@@ -109,7 +109,8 @@ def angle(a: Vec, c: Vec, b: Vec) -> Column:
     """The angle a-c-b in radians; null if an arm has no length."""
     u, v = minus(a, c), minus(b, c)
     n = F.sqrt(dot(u, u)) * F.sqrt(dot(v, v))
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / F.when(n != 0, n))))
+    # least and greatest pass over nulls, so the case is told apart outside
+    return F.when(n != 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / F.nullif(n, F.lit(0.0))))))
 
 
 def in_triangle(p: Vec, q: Vec, r: Vec, s: Column, t: Column) -> Vec:
@@ -142,13 +143,14 @@ def plane_cosine(centre: Vec, p: Vec, q: Vec, r: Vec) -> Column:
     out = minus(centre, p)
     n2, o2 = dot(n, n), dot(out, out)
     along = dot(out, n)
-    flat = F.greatest(o2 - along * along / F.when(n2 != 0, n2), F.lit(0.0))
-    return F.sqrt(flat / F.when(o2 != 0, o2))
+    flat = F.greatest(o2 - along * along / F.nullif(n2, F.lit(0.0)), F.lit(0.0))
+    return F.when((n2 != 0) & (o2 != 0), F.sqrt(flat / F.nullif(o2, F.lit(0.0))))
 
 
 def facet_weight(p: Vec, q: Vec, r: Vec, centre1: Vec, centre2: Vec) -> Column:
     """A facet's area times the lesser of its two cells' plane cosines (0.001 for a negative one)."""
-    c = F.least(plane_cosine(centre1, p, q, r), plane_cosine(centre2, p, q, r))
+    one, two = plane_cosine(centre1, p, q, r), plane_cosine(centre2, p, q, r)
+    c = F.when(one.isNotNull() & two.isNotNull(), F.least(one, two))
     return area(p, q, r) * F.when(c < 0, F.lit(0.001)).otherwise(c)
 
 
