@@ -3,8 +3,10 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pointloom.operators import belief, cuts
+from pointloom.plans.lineage import cut
 
 
 def test_pairwise_is_exact_on_a_tree(spark):
@@ -68,3 +70,11 @@ def test_tile_and_agreed_labels_have_least_energy(spark):
     if not open_:
         assert abs(energy([got[i] for i in range(5)], c0, c1, chain) - min(energy(s, c0, c1, chain) for s in itertools.product((0, 1), repeat=5))) < 1e-9
     assert len(got) == 5
+
+
+def test_the_estimate_of_a_loop_stays_bounded(spark):
+    t = cut(spark.range(3).withColumn("v", F.col("id")))
+    for _ in range(5):
+        t = cut(t.alias("x").join(t.alias("y"), "id").join(t.alias("z"), "id").select("id", (F.col("x.v") + 1).alias("v")))
+        assert t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
+    assert sorted(map(tuple, t.collect())) == [(0, 5), (1, 6), (2, 7)]
