@@ -77,12 +77,17 @@ def orientation(p: Vec, q: Vec, r: Vec, s: Vec) -> Column:
     return F.when(d > 0, 1).when(d < 0, -1).otherwise(0)
 
 
-def circumcentre(p: Vec, q: Vec, r: Vec, s: Vec) -> Vec:
-    """The centre of the sphere through four points; null for flat cells."""
+def circumoffset(p: Vec, q: Vec, r: Vec, s: Vec) -> Vec:
+    """From ``p`` to the centre of the sphere through four points; null for flat cells. For whole coordinates whose products stay below 2**53 each part is rounded once."""
     u, v, w = minus(q, p), minus(r, p), minus(s, p)
     d = 2 * det(u, v, w)
     sum_ = plus(plus(times(cross(v, w), dot(u, u)), times(cross(w, u), dot(v, v))), times(cross(u, v), dot(w, w)))
-    return plus(p, times(sum_, 1 / F.when(d != 0, d)))
+    return tuple(c / F.when(d != 0, d) for c in sum_)
+
+
+def circumcentre(p: Vec, q: Vec, r: Vec, s: Vec) -> Vec:
+    """The centre of the sphere through four points; null for flat cells."""
+    return plus(p, circumoffset(p, q, r, s))
 
 
 def sphere_inside(centre: Vec, r2: Column, low: Vec, high: Vec) -> Column:

@@ -157,9 +157,14 @@ def circumsphere_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each cell's sphere lies in, or touches, a box, and whether that box lies beyond its first facet."""
     p, q, r, s = (sx.vec(c) for c in "pqrs")
     low, high = tuple(map(F.lit, (0.0, 0.0, 0.0))), tuple(map(F.lit, (50.0, 600.0, 100.0)))
-    t = cells(spark, sf_dir).withColumn("c", sx.struct(sx.circumcentre(p, q, r, s))).where("c.x is not null")
-    r2 = sx.squared_distance(sx.vec("c"), p)
-    return t.select("cell_id", F.round(F.log(r2), 7).alias("log_r2"), sx.sphere_inside(sx.vec("c"), r2, low, high).alias("inside"), sx.sphere_touches(sx.vec("c"), r2, low, high).alias("touches"), sx.box_beyond(p, q, r, low, high).alias("beyond"))
+    t = cells(spark, sf_dir).withColumn("o", sx.struct(sx.circumoffset(p, q, r, s))).where("o.x is not null")
+    # the radius is the offset's length: a corner taken from the centre again would lose its last digits
+    off = sx.vec("o")
+    t = t.withColumn("c", sx.struct(sx.plus(p, off))).withColumn("radius", F.sqrt(sx.dot(off, off)))
+    r2 = F.col("radius") * F.col("radius")
+    # rounded at the digit's place as a double, not by its decimal notation
+    log_r2 = F.round(2 * F.log("radius") * 1e7) / 1e7
+    return t.select("cell_id", log_r2.alias("log_r2"), sx.sphere_inside(sx.vec("c"), r2, low, high).alias("inside"), sx.sphere_touches(sx.vec("c"), r2, low, high).alias("touches"), sx.box_beyond(p, q, r, low, high).alias("beyond"))
 
 
 def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
