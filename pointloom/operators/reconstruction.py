@@ -65,13 +65,19 @@ def cell_masses(cells: DataFrame, points: DataFrame, size: float, n_samples: int
 
 
 def located(cells: DataFrame, places: DataFrame, edge: float) -> DataFrame:
-    """(place_id, cell_id): the cell that each of ``places`` (place_id, x, y, z) lies in, sides included; the least of several. Cells and places meet in a grid of width ``edge``."""
+    """(place_id, cell_id): the cell that each of ``places`` (place_id, x, y, z) lies in, sides included; the least of several.
+
+    Cells and places meet in a grid of width ``edge``. A cell is in the cubes that it has more than a side in common with; a place on a side between cubes is in those of both sides.
+    """
     corners = [sx.vec(c) for c in "pqrs"]
     at = lambda v: F.floor(v / edge).cast("bigint")
     t = cells.select("cell_id", *"pqrs")
+    here = places.select("place_id", "x", "y", "z")
     for i, a in enumerate("xyz"):
-        t = t.withColumn(f"c{a}", F.explode(F.sequence(at(F.least(*[c[i] for c in corners])), at(F.greatest(*[c[i] for c in corners])))))
-    here = places.select("place_id", "x", "y", "z", *[at(F.col(a)).alias(f"c{a}") for a in "xyz"])
+        low, high = at(F.least(*[c[i] for c in corners])), F.ceil(F.greatest(*[c[i] for c in corners]) / edge).cast("bigint") - 1
+        t = t.withColumn(f"c{a}", F.explode(F.sequence(low, F.greatest(low, high))))
+        cube = at(F.col(a))
+        here = here.withColumn(f"c{a}", F.explode(F.when(F.col(a) / edge == cube, F.array(cube - 1, cube)).otherwise(F.array(cube))))
     met = t.join(here, ["cx", "cy", "cz"])
     v = sx.columns()
     p, q, r, s = corners

@@ -370,10 +370,11 @@ def flooded_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def located_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least voxel cell that each point lies in, points moved into the grid."""
-    p = numbering.numbered(points(spark, sf_dir), [F.col(c) for c in (*KEYS, "x", "y", "z")], "place_id")
-    places = p.select("place_id", (F.col("x") / 8).alias("x"), (F.col("y") % 64 / 8).alias("y"), (F.col("z") % 64 / 8).alias("z"))
-    return reconstruction.located(voxel_cells(spark, sf_dir), places, 1.0).groupBy("cell_id").agg(F.count("*").alias("n"))
+    """The least voxel cell that each point lies in, points moved into the grid. Points at one place are located once and counted each."""
+    p = points(spark, sf_dir).select((F.col("x") / 8).alias("x"), (F.col("y") % 64 / 8).alias("y"), (F.col("z") % 64 / 8).alias("z"))
+    places = p.groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+    places = places.select(F.struct("x", "y", "z", "n").alias("place_id"), "x", "y", "z")
+    return reconstruction.located(voxel_cells(spark, sf_dir), places, 1.0).groupBy("cell_id").agg(F.sum("place_id.n").alias("n"))
 
 
 def neighbour_mail(spark: SparkSession, sf_dir: str) -> DataFrame:

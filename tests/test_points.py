@@ -27,3 +27,18 @@ def test_spheres_through_a_corner_of_the_box_are_as_in_the_sql(spark, tmp_path):
     want = by_sql(tmp_path, "circumsphere_filter", [p for c in found for p in c])
     got = cloud.circumsphere_filter(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == want and len(got) == len(found)
+
+
+def test_points_at_one_place_are_located_once_and_counted_each(spark, tmp_path, monkeypatch):
+    few = [(8, 64, 0), (50, 130, 10), (17, 63, 100), (16, 72, 40), (9, 71, 30)]
+    want = by_sql(tmp_path, "located_points", few * 40)
+    rows, located = [], reconstruction.located
+
+    def spy(cells, places, edge):
+        rows.append(places.count())
+        return located(cells, places, edge)
+
+    monkeypatch.setattr(reconstruction, "located", spy)
+    got = cloud.located_points(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == want and sum(r.n for r in got) == 200
+    assert rows == [len(few)]
