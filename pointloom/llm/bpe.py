@@ -233,11 +233,12 @@ class Codec:
         self.seen = _Seen()
         self.encoded: list[bytes] = []
 
-    def encode_many(self, texts: Iterable[str]) -> Iterator[bytes]:
+    def encode_many(self, texts: Iterable[str], remembered: int | None = None) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; new pre-tokens of many texts are merged together.
 
-        Held at once: TOGETHER characters of texts or one text, their ids, and about REMEMBERED bytes of pre-tokens.
+        Held at once: TOGETHER characters of texts or one text, their ids, and about ``remembered`` (REMEMBERED) bytes of pre-tokens, which stay until ``forget``.
         """
+        most = remembered or REMEMBERED
         for run in _by_size(texts):
             done: list[list[bytes]] = [[] for _ in run]
             numbers = [array("I") for _ in run]
@@ -246,7 +247,7 @@ class Codec:
                     numbers[k].extend(map(self.seen.__getitem__, found))
                     if self.seen.waiting > MERGED_TOGETHER:
                         self._merge()
-                    if self.seen.held > REMEMBERED:
+                    if self.seen.held > most:
                         self._settle(done, numbers)
                         self.forget()
             self._settle(done, numbers)

@@ -19,6 +19,12 @@ from pointloom.llm.common import Scratch, feistel, give_back
 RECORD_END = 1
 #: Tasks that write at most; each has a range of shards.
 MOST_TASKS = 20_000
+#: Bytes of pre-tokens that a worker remembers, about, from one task to the next.
+REMEMBERED = 128 << 20
+#: The shards are written in so many ranges, one after the other, so that only one range's sequences lie in shuffle files.
+WAVES = 2
+#: Lets Spark delete a write's shuffle files when it is done.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Layout(NamedTuple):
@@ -53,14 +59,14 @@ def token_rows(docs: DataFrame, how: Layout, vocabulary: str) -> DataFrame:
         c, part, used = codec(vocabulary), TaskContext.get().partitionId(), 0
         for b in it:
             starts, counts, ids = [], [], []
-            for x in c.encode_many(map(_utf8, b.column("text"))):
+            for x in c.encode_many(map(_utf8, b.column("text")), REMEMBERED):
                 starts.append(used)
                 counts.append(len(x) // 4 + 1)
                 ids.append((x if how.width == 4 else np.frombuffer(x, "<u4").astype(kind).tobytes()) + end)
                 used += counts[-1]
             cols = [b.column("doc_id"), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "start", "n", "ids"])
-        c.forget()
+        # the next task of this worker meets the same words
         give_back()
 
     small = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -87,9 +93,9 @@ def place_pieces(tokens: DataFrame, bases: DataFrame, total: int, how: Layout, k
     return t.select("doc_id", "piece", "slot", _div(F.col("slot"), how.slots_per_shard).alias("shard"), "at", "n_tokens", "ids")
 
 
-def _assembled(pieces: DataFrame, shards: int, how: Layout) -> DataFrame:
-    """(shard, value): the sequences in the order of their slots; a range of shards a task."""
-    tasks = min(shards, MOST_TASKS)
+def _assembled(pieces: DataFrame, first: int, end: int, how: Layout) -> DataFrame:
+    """(shard, value): the sequences of the shards from ``first`` to ``end`` (not included) in the order of their slots; a range of shards a task."""
+    tasks = min(end - first, MOST_TASKS)
     fill = how.pad.to_bytes(how.width, "little")
 
     def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +118,7 @@ def _assembled(pieces: DataFrame, shards: int, how: Layout) -> DataFrame:
         whole = [x if len(x) == size else x + fill * ((size - len(x)) // how.width) for x in out[1]]
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(whole, pa.binary())], ["shard", "value"])
 
-    ranged = pieces.select("shard", "slot", "at", "ids").repartitionById(tasks, _div(F.col("shard") * tasks, shards).cast("int"))
+    ranged = pieces.select("shard", "slot", "at", "ids").repartitionById(tasks, _div((F.col("shard") - first) * tasks, end - first).cast("int"))
     return ranged.sortWithinPartitions("shard", "slot", "at").select("shard", "slot", "ids").mapInArrow(join, "shard bigint, value binary")
 
 
@@ -131,14 +137,21 @@ def write_shards(docs: DataFrame, path: str, stride: int = 1024, slots_per_shard
     how, scratch = layout(vocabulary, stride, slots_per_shard), Scratch(spark)
     tokens = scratch.table(token_rows(docs, how, vocabulary))
     counts = tokens.groupBy("part").agg(F.ceil(F.max(F.col("start") + F.col("n")) / F.lit(stride)).cast("bigint").alias("s"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = scratch.table(counts.select("part", "s", F.coalesce(F.sum("s").over(before), F.lit(0)).cast("bigint").alias("base")))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = scratch.table(counts.select("part", "s", F.coalesce(F.sum("s").over(ahead), F.lit(0)).cast("bigint").alias("base")))
     total = int(bases.agg(F.sum("s")).first()[0] or 0)
     pieces = place_pieces(tokens, bases.select("part", "base"), max(total, 1), how, key)
     if total:
         shards = -(-total // slots_per_shard)
-        rows = _assembled(pieces, shards, how)
-        rows.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+        before = spark.conf.get(_CLEAN, None)
+        spark.conf.set(_CLEAN, "true")
+        try:
+            for w in range(min(WAVES, shards)):
+                first, end = shards * w // min(WAVES, shards), shards * (w + 1) // min(WAVES, shards)
+                rows = _assembled(pieces.where(F.col("shard").between(first, end - 1)), first, end, how)
+                rows.select("shard", F.col("value").cast("string").alias("value")).write.mode("append" if w else "error").partitionBy("shard").option("lineSep", "\n").text(path)
+        finally:
+            spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
         written = _files(spark, path).agg(F.sum("length")).first()[0]
         if written != total * how.record:
             raise RuntimeError(f"{path} holds {written} bytes, {total * how.record} were to be written")

@@ -25,3 +25,18 @@ def test_uid_does_not_follow_the_splits(spark, tmp_path):
 def test_input_without_files_is_numbered_once(spark):
     rows = with_uid(spark.range(100).repartition(3), ["id"], Scratch(spark))
     assert len({r.uid for r in rows.collect()}) == 100 and rows.collect() == rows.collect()
+
+
+def test_shards_written_in_waves_are_the_same(spark, tmp_path, monkeypatch):
+    from pointloom.llm import token_shards
+
+    docs = spark.createDataFrame([(i, f"word{i} and some more {i * 7} " * 20) for i in range(120)], "doc_id bigint, text string").repartition(3, "doc_id").sortWithinPartitions("doc_id")
+    assembled, ranges, found = token_shards._assembled, [], []
+    monkeypatch.setattr(token_shards, "_assembled", lambda pieces, first, end, how: ranges.append((first, end)) or assembled(pieces, first, end, how))
+    for waves in (1, 2):
+        monkeypatch.setattr(token_shards, "WAVES", waves)
+        rows = token_shards.write_shards(docs, f"{tmp_path}/{waves}", 64, 40)
+        files = {f.parent.name: f.read_bytes() for f in sorted(tmp_path.glob(f"{waves}/shard=*/*.txt"))}
+        found.append((files, sorted(map(tuple, rows.collect()))))
+    assert found[0] == found[1] and len(found[0][0]) > 2
+    assert ranges[0] == (0, ranges[2][1]) and ranges[1][1] == ranges[2][0]
