@@ -9,7 +9,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heappop, heappush
-from itertools import batched
+from itertools import batched, chain, compress, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -107,99 +107,121 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceQueue:
     """Merges many short pre-tokens at once with one rank queue.
 
-    All pre-tokens lie in one linked list with an end mark after each, so no pair crosses them. Taking the least rank of all is the least rank of
-    each that has it; of several places in one pre-token only the leftmost is merged, the others go back, as a merge may bring a lower rank.
+    All pre-tokens lie in one linked list with an end mark after each, so no pair crosses them. A bucket holds the places of 256 ranks, a bit of the bitmap ``top`` each.
+    Of the least bucket that has places, every pre-token in it merges its own least rank, the leftmost of equals: a pre-token's least rank is there or in a later bucket,
+    and pre-tokens don't meet. Its other places go back, as a merge may bring a lower rank.
     """
 
     #: No id: a pair with it has a negative key, whatever the vocabulary's size.
     _END = -1
+    #: No pair's key, nor one with an end mark.
+    _FREE = -(1 << 62)
 
     def __init__(self, ranks: dict[bytes, int]):
         found = {(ranks[t[:k]] << 32) | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.keys = np.array(sorted(found), np.int64)
-        self.made = np.array([found[k] for k in self.keys.tolist()], np.int32)
+        # an open table, a quarter of it taken at most; a key lies in the first free place from its own on
+        bits = max(8, (4 * len(found)).bit_length())
+        self._shift, self._last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.made = np.full(1 << bits, self._FREE, np.int64), np.full(1 << bits, -1, np.int32)
+        key, rank = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        at = self._place(key)
+        while len(key):
+            free = self.keys[at] == self._FREE
+            self.keys[at[free]] = key[free]
+            here = self.keys[at] == key
+            self.made[at[here]] = rank[here]
+            key, rank, at = key[~here], rank[~here], at[~here] + 1 & self._last
         self.single = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
+        # the ranks of two bytes; 256 is the end mark
+        self.double = np.full((257, 257), -1, np.int32)
+        self.double[:256, :256] = self._rank(np.repeat(self.single, 256), np.tile(self.single, 256)).reshape(256, 256)
+        self.double = self.double.ravel()
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).astype(np.int64)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, or -1."""
         key = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.made[at], np.int32(-1))
-
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each pre-token as little-endian 32-bit integers."""
+        at = self._place(key)
+        there = self.keys[at]
+        same = there == key
+        out = np.where(same, self.made[at], np.int32(-1))
+        on = np.flatnonzero(~same & (there != self._FREE))
+        while len(on):
+            at[on] = at[on] + 1 & self._last
+            there = self.keys[at[on]]
+            same = there == key[on]
+            out[on[same]] = self.made[at[on[same]]]
+            on = on[~same & (there != self._FREE)]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens, one after the other, and how many each has."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(size.sum()) + len(pieces)
         end = np.cumsum(size + 1) - 1
-        token = np.full(n + 1, self._END, np.int32)
         inside = np.ones(n, bool)
         inside[end] = False
-        token[:n][inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        code = np.full(n + 1, 256, np.int32)
+        code[:n][inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        pair = np.full(n + 1, -1, np.int32)
+        pair[:n] = self.double[code[:n] * 257 + code[1:]]
+        token = np.append(self.single, np.int32(self._END))[code]
+        del code
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), size + 1)
         after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # place -1 is the last, an end mark
-        pair = np.full(n + 1, -1, np.int32)
-        for a in range(0, n, 1 << 17):
-            b = min(a + (1 << 17), n)
-            pair[a:b] = self._rank(token[a:b], token[a + 1 : b + 1])
-        start = np.flatnonzero(pair >= 0).astype(np.int32)
-        start = start[np.argsort(pair[start], kind="stable")]
-        cuts = np.flatnonzero(np.diff(pair[start])) + 1
-        # a bucket's places: those it had at first, in their order, and those that merges have added
-        buckets: dict[int, tuple[np.ndarray, list[int]]] = {int(pair[g[0]]): (g, []) for g in np.split(start, cuts) if len(g)}
-        none = np.zeros(0, np.int32)
-        low: dict[int, int] = {}
-        for r in buckets:
-            low[r >> 8] = low.get(r >> 8, 0) | 1 << (r & 255)
-        top = sum(1 << w for w in low)
+        buckets: dict[int, list[np.ndarray]] = {}
+        top = self._push(np.flatnonzero(pair >= 0).astype(np.int32), pair, buckets)
         while top:
             w = (top & -top).bit_length() - 1
-            bits = low[w]
-            r = w << 8 | (bits & -bits).bit_length() - 1
-            low[w] = bits = bits & bits - 1
-            if not bits:
-                top &= top - 1
-            at, added = buckets.pop(r)
-            if added:
-                at = np.concatenate((at, np.array(added, np.int32)))
-            at = at[pair[at] == r]
-            back: list[int] = []
-            if len(at) > 1:
-                at.sort()
-                whose = owner[at]
-                first = np.concatenate(([True], whose[1:] != whose[:-1]))
-                if not first.all():
-                    back = at[~first].tolist()
-                    at = at[first]
+            top &= top - 1
+            at = np.concatenate(buckets.pop(w))
+            # an entry whose pair has changed since is stale, one that was put in twice counts once
+            at = np.sort(at[pair[at] >> 8 == w])
             if not len(at):
                 continue
+            at = at[_starts(at)]
+            rank, whose = pair[at], owner[at]
+            start = np.flatnonzero(_starts(whose))
+            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(start, append=len(at)))
+            some = np.flatnonzero(rank == least)
+            some = some[_starts(whose[some])]
+            if len(some) < len(at):
+                rest = np.ones(len(at), bool)
+                rest[some] = False
+                buckets[w] = [at[rest]]
+                top |= 1 << w
+            at, rank = at[some], rank[some]
             j = after[at]
             k = after[j]
             after[at] = k
             before[k] = at
             pair[j] = -1
-            token[at] = r
-            h = before[at]
-            both = np.concatenate((h, at))
-            new = self._rank(token[both], np.concatenate((token[at], token[k])))
-            pair[both] = new
-            some = np.flatnonzero(new >= 0)
-            for rank, place in [*zip(new[some].tolist(), both[some].tolist(), strict=True), *((r, x) for x in back)]:
-                if rank in buckets:
-                    buckets[rank][1].append(place)
-                else:
-                    buckets[rank] = (none, [place])
-                    w = rank >> 8
-                    low[w] = low.get(w, 0) | 1 << (rank & 255)
-                    top |= 1 << w
+            token[at] = rank
+            both = np.concatenate((before[at], at))
+            pair[both] = new = self._rank(token[both], np.concatenate((rank, token[k])))
+            top |= self._push(both[new >= 0], pair, buckets)
         # what is still linked: every place that its predecessor points to
         alive = np.zeros(n + 2, bool)
         alive[0] = True
         alive[after[:n][self._linked(after, n)]] = True
         alive = alive[:n] & inside
-        ids = token[:n][alive].astype("<u4").tobytes()
-        ends = np.cumsum(np.bincount(owner[alive], minlength=len(pieces))) * 4
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return token[:n][alive], np.bincount(owner[alive], minlength=len(pieces))
+
+    @staticmethod
+    def _push(places: np.ndarray, pair: np.ndarray, buckets: dict[int, list[np.ndarray]]) -> int:
+        """Puts the places into the buckets of their pairs; returns the bits of those buckets."""
+        word = pair[places] >> 8
+        # ranks below 2**24 are sorted by two bytes, in one pass each
+        order = np.argsort(word.astype(np.uint16) if len(word) and word.max() < 1 << 16 else word, kind="stable")
+        places, word = places[order], word[order]
+        cut = np.flatnonzero(_starts(word)).tolist()
+        bits = 0
+        for w, a, b in zip(word[cut].tolist(), cut, [*cut[1:], len(places)], strict=False):
+            buckets.setdefault(w, []).append(places[a:b])
+            bits |= 1 << w
+        return bits
 
     @staticmethod
     def _linked(after: np.ndarray, n: int) -> np.ndarray:
@@ -208,15 +230,27 @@ class PieceQueue:
         return np.flatnonzero(reach <= np.arange(n))
 
 
-def _ascii_pattern(pattern: str) -> re.Pattern | regex.Pattern:
-    """The pattern as it reads for ASCII texts, with its classes spelt out for the standard library, which is twice as fast there."""
-    inside = {r"\s": r"\t-\r ", r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return first
+
+
+def _spelt_out(pattern: str, inside: dict[str, str], flags: int = 0) -> re.Pattern | None:
+    r"""The pattern for the standard library, which is twice as fast, with the members of \s, \p{L} and \p{N} in place of these; None if it has what the two may read differently."""
     named = re.compile(r"\\s|\\p\{[LN]\}")
     spelt = re.sub(r"\[[^\]]*\]", lambda m: named.sub(lambda c: inside[c[0]], m[0]), pattern)
-    spelt = re.sub(r"(\[[^\]]*\])|(\\s|\\S|\\p\{[LN]\})", lambda m: m[1] or (r"[^\t-\r ]" if m[2] == r"\S" else f"[{inside[m[2]]}]"), spelt)
-    if r"\p" in spelt or r"\P" in spelt:
-        return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-    return re.compile(spelt, re.ASCII)
+    spelt = re.sub(r"(\[[^\]]*\])|(\\s|\\S|\\p\{[LN]\})", lambda m: m[1] or (f"[^{inside[r'\s']}]" if m[2] == r"\S" else f"[{inside[m[2]]}]"), spelt)
+    unlike = r"\\[pP]" if flags & re.ASCII else r"\\[pPsSwWdDbB]|\(\?[a-z]*i"
+    return None if re.search(unlike, spelt) else re.compile(spelt, flags)
+
+
+@cache
+def _plane(prop: str) -> str:
+    """The ranges of the characters up to U+FFFF that have a Unicode property, as the ``regex`` module knows it."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(rf"\p{{{prop}}}+", every))
 
 
 class Codec:
@@ -228,10 +262,11 @@ class Codec:
         self.pieces = {i: b for b, i in self.ranks.items()}
         # white space by its Unicode property, as the library's patterns have it
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.ascii_split = _ascii_pattern(pattern)
+        self.ascii_split = _spelt_out(pattern, {r"\s": r"\t-\r ", r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}, re.ASCII) or self.split
+        self.plane_split = _spelt_out(pattern, {r"\s": _plane("White_Space"), r"\p{L}": _plane("L"), r"\p{N}": _plane("N")}) or self.split
         self.queue = PieceQueue(self.ranks)
         self.seen = _Seen()
-        self.encoded: list[bytes] = []
+        self.forget()
 
     def encode_many(self, texts: Iterable[str], remembered: int | None = None) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; new pre-tokens of many texts are merged together.
@@ -240,28 +275,32 @@ class Codec:
         """
         most = remembered or REMEMBERED
         for run in _by_size(texts):
-            done: list[list[bytes]] = [[] for _ in run]
-            numbers = [array("I") for _ in run]
-            for k, t in enumerate(run):
+            numbers, ids, sizes = array("I"), [np.zeros(0, np.int32)], [np.zeros(1, np.int32)]
+            settled, bounds = 0, [0]
+            for t in run:
                 for found in self._pieces(t):
-                    numbers[k].extend(map(self.seen.__getitem__, found))
+                    numbers.extend(map(self.seen.__getitem__, found))
                     if self.seen.waiting > MERGED_TOGETHER:
                         self._merge()
                     if self.seen.held > most:
-                        self._settle(done, numbers)
+                        settled += self._settle(numbers, ids, sizes)
                         self.forget()
-            self._settle(done, numbers)
-            for parts in done:
-                yield parts[0] if len(parts) == 1 else b"".join(parts)
+                bounds.append(settled + len(numbers))
+            self._settle(numbers, ids, sizes)
+            every, cut = np.concatenate(ids).astype("<u4", copy=False), np.cumsum(np.concatenate(sizes))[bounds].tolist()
+            for a, b in pairwise(cut):
+                yield every[a:b].tobytes()
 
     def forget(self) -> None:
         """Drops the remembered pre-tokens."""
         self.seen.clear()
-        self.encoded.clear()
         self.seen.held = 0
+        #: The ids of the pre-tokens by their numbers: those of number k lie from first[k] to first[k + 1].
+        self.ids, self.first, self.merged = np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int64), 0
 
     def _pieces(self, text: str) -> Iterator[list[str] | tuple[str, ...]]:
-        split = self.ascii_split if text.isascii() else self.split
+        # two bytes a character: none beyond U+FFFF
+        split = self.ascii_split if text.isascii() else self.plane_split if len(text.encode("utf-16-le")) == 2 * len(text) else self.split
         if len(text) < 1 << 18:
             yield split.findall(text)
         else:
@@ -269,20 +308,39 @@ class Codec:
 
     def _merge(self) -> None:
         """Encodes the pre-tokens that wait."""
+        if not self.seen.new:
+            return
         new = [x.encode() for x in self.seen.new]
-        short = [x for x in new if len(x) <= LONGEST_BATCHED and x not in self.ranks]
-        merged = iter(self.queue.encode(short) if short else [])
-        self.encoded += [next(merged) if len(x) <= LONGEST_BATCHED and x not in self.ranks else np.array(encode_piece(x, self.ranks), "<u4").tobytes() for x in new]
+        whole = [self.ranks.get(x, -1) for x in new]
+        size = np.ones(len(new), np.int64)
+        queued = (np.array(whole, np.int64) < 0) & (np.fromiter(map(len, new), np.int64, len(new)) <= LONGEST_BATCHED)
+        merged, size[queued] = self.queue.encode(list(compress(new, queued.tolist())))
+        others = [[r] if r >= 0 else encode_piece(x, self.ranks) for x, r, q in zip(new, whole, queued.tolist(), strict=True) if not q]
+        size[~queued] = np.fromiter(map(len, others), np.int64, len(others))
+        of = np.repeat(queued, size)
+        ids = np.empty(len(of), np.int32)
+        ids[of] = merged
+        ids[~of] = np.fromiter(chain.from_iterable(others), np.int32, len(of) - len(merged))
+        used = int(self.first[self.merged])
+        self.ids = _put(self.ids, used, ids)
+        self.first = _put(self.first, self.merged + 1, used + np.cumsum(size))
+        self.merged += len(new)
         self.seen.new.clear()
         self.seen.waiting = 0
 
-    def _settle(self, done: list[list[bytes]], numbers: list[array]) -> None:
-        """Turns the numbers of pre-tokens so far into ids."""
+    def _settle(self, numbers: array, ids: list[np.ndarray], sizes: list[np.ndarray]) -> int:
+        """Turns the numbers of pre-tokens so far into ids and how many each has; returns how many pre-tokens these are."""
         self._merge()
-        for parts, x in zip(done, numbers, strict=True):
-            if x or not parts:
-                parts.append(b"".join(map(self.encoded.__getitem__, x)))
-                del x[:]
+        count = len(numbers)
+        for a in range(0, count, 1 << 18):
+            x = np.array(numbers[a : a + (1 << 18)], np.int64)
+            first = self.first[x]
+            size = self.first[x + 1] - first
+            ahead = np.cumsum(size) - size
+            ids.append(self.ids[np.repeat(first - ahead, size) + np.arange(ahead[-1] + size[-1])])
+            sizes.append(size.astype(np.int32))
+        del numbers[:]
+        return count
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_many([text]))
@@ -291,6 +349,14 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _put(a: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``a`` with ``values`` from ``at`` on; where it is too short, a copy with room to spare."""
+    if at + len(values) > len(a):
+        a = np.concatenate((a[:at], np.empty(max(at, len(values)), a.dtype)))
+    a[at : at + len(values)] = values
+    return a
+
+
 class _Seen(dict):
     """Pre-token to its number; what is new gets the next one and waits to be merged."""
 
