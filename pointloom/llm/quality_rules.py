@@ -19,14 +19,17 @@ PRIOR = 4.0
 THRESHOLD = -0.2
 
 
-def _without(text: Column, put: str) -> Column:
-    """``text`` with ``put`` for each white-space character but the blank."""
-    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(put)), "\t\n\x0b\x0c\r", text)
+def _blanks(text: Column) -> Column:
+    """``text`` (null: none) with a blank for each white-space character. Rare ones are looked for first, which takes a fraction of a replacement's time."""
+    text = F.coalesce(text, F.lit(""))
+    rare = "\t\x0b\x0c\r"
+    some = reduce(lambda t, c: t | c, [F.contains(text, F.lit(c)) for c in rare])
+    return F.replace(F.when(some, reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), rare, text)).otherwise(text), F.lit("\n"), F.lit(" "))
 
 
-def words(text: Column) -> Column:
-    """The words of a text (null: none). A split at one fixed character needs no pattern matching."""
-    return F.filter(F.split(_without(F.coalesce(text, F.lit("")), " "), " "), lambda w: w != "")
+def _parts(blanks: Column) -> Column:
+    """What lies between the blanks, one more than these. A split at one fixed character needs no pattern matching."""
+    return F.split(blanks, " ")
 
 
 def rule_counts(df: DataFrame) -> DataFrame:
@@ -37,10 +40,11 @@ def rule_counts(df: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    counts = let(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), lambda ids: F.struct(F.size(ids).alias("n"), _repeat_words(ids).alias("r")))
+    counted = lambda parts: let(_hashes(parts), lambda ids: F.struct(F.size(parts).alias("p"), F.size(ids).alias("n"), _repeat_words(ids).alias("r")))
+    counts = let(_parts(_blanks(F.col("text"))), counted)
     t = df.withColumn("_c", counts)
     return t.select(
-        *df.columns, F.col("_c.n").cast("bigint").alias("n_words"), F.length(F.replace(_without(text, ""), F.lit(" "), F.lit(""))).cast("bigint").alias("word_chars"),
+        *df.columns, F.col("_c.n").cast("bigint").alias("n_words"), (F.length(text) - F.col("_c.p") + 1).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         F.col("_c.r").cast("bigint").alias("n_repeat_words"),
@@ -71,8 +75,12 @@ def _repeat_words(ids: Column) -> Column:
 
 def token_ids(text: Column) -> Column:
     """A hash for each token of a text; a punctuation mark or symbol is a token of its own."""
-    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\x20\x09-\x0D])", " $1 ")
-    return F.transform(words(apart), lambda w: F.xxhash64(w))
+    return _hashes(_parts(F.regexp_replace(_blanks(text), r"([^\p{L}\p{N} ])", " $1 ")))
+
+
+def _hashes(parts: Column) -> Column:
+    """A hash for each part that isn't empty."""
+    return F.transform(F.array_remove(parts, ""), lambda w: F.xxhash64(w))
 
 
 def _one(h: Column) -> Column:
