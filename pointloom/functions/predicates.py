@@ -93,6 +93,22 @@ def _within(a: tuple, b: tuple, c: tuple, d: tuple, p: tuple) -> bool:
     return _in_sphere_exact(np.array([a, b, c, d]), np.array(p))
 
 
+def circumspheres(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and squared radii of the spheres through the corners of tetrahedra t (m, 4, 3) that aren't flat; of those so thin that rounding could matter from exact fractions."""
+    u = t[:, :3] - t[:, 3:]
+    thin = np.abs(np.einsum("ij,ij->i", u[:, 0], np.cross(u[:, 1], u[:, 2]))) <= 1e-8 * np.abs(u).max((1, 2), initial=0) ** 3
+    rel = np.zeros((len(t), 3))
+    if not thin.all():
+        rel[~thin] = np.linalg.solve(u[~thin], (u[~thin] ** 2).sum(2)[..., None] / 2)[..., 0]
+    for k in np.flatnonzero(thin):
+        *abc, d = _exact_rows(t[k])
+        rows = [[p - q for p, q in zip(r, d, strict=True)] for r in abc]
+        half, det = [sum(v * v for v in r) / 2 for r in rows], _det3(*rows)
+        # Cramer's rule: a column for each coordinate
+        rel[k] = [float(_det3(*[[h if j == i else v for j, v in enumerate(r)] for r, h in zip(rows, half, strict=True)]) / det) for i in range(3)]
+    return rel + t[:, 3], (rel**2).sum(1)
+
+
 def _near_order(points: np.ndarray) -> np.ndarray:
     """Points along a curve that visits neighbours after each other."""
     span = np.ptp(points, axis=0)

@@ -32,9 +32,7 @@ def _triangulate(t: pa.Table) -> pa.Table:
     x = np.where(ghost[..., None], 0.0, xyz[cells])
     centre, r2 = np.zeros((len(cells), 3)), np.full(len(cells), -1.0)
     f = ~ghost.any(1)
-    u = x[f][:, :3] - x[f][:, 3:]
-    rel = np.linalg.solve(u, (u**2).sum(2)[..., None] / 2)[..., 0] if f.any() else np.zeros((0, 3))
-    centre[f], r2[f] = rel + x[f][:, 3], (rel**2).sum(1)
+    centre[f], r2[f] = predicates.circumspheres(x[f])
     for k in np.flatnonzero(~f):
         # the direction in which the orientation of (corners, point) grows
         g = int(np.flatnonzero(ghost[k])[0])
